@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, licences, simhash, toxicity
+from . import exact, language, licences, simhash, suffix, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.find_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(_read(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_language, op5_simhash, op9_exact_dedup, op10_licences)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_language, op5_simhash, op8_suffix_array, op9_exact_dedup, op10_licences)}
 ORACLES = {"op9_exact_dedup": exact.ORACLE_SQL, "op10_licences": licences.oracle_sql()}
