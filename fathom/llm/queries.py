@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, licences, simhash, suffix, toxicity
+from . import bpe, exact, fingerprints, language, licences, packing, simhash, suffix, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(_read(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.find_toxic(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -23,6 +31,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.find_repeats(_read(spark, sf_dir, "documents"))
 
@@ -35,5 +47,5 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_language, op5_simhash, op8_suffix_array, op9_exact_dedup, op10_licences)}
-ORACLES = {"op9_exact_dedup": exact.ORACLE_SQL, "op10_licences": licences.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_toxicity, op4_language, op5_simhash, op6_packing, op8_suffix_array, op9_exact_dedup, op10_licences)}
+ORACLES = {"op1_fingerprints": fingerprints.oracle_sql(), "op9_exact_dedup": exact.ORACLE_SQL, "op10_licences": licences.oracle_sql()}
