@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, fingerprints, language, licences, packing, simhash, suffix, toxicity
+from . import bpe, exact, fingerprints, language, licences, packing, simhash, suffix, toxicity, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_read(spark, sf_dir, "pages"))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.find_repeats(_read(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_toxicity, op4_language, op5_simhash, op6_packing, op8_suffix_array, op9_exact_dedup, op10_licences)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_toxicity, op4_language, op5_simhash, op6_packing, op7_wrappers, op8_suffix_array, op9_exact_dedup, op10_licences)}
 ORACLES = {"op1_fingerprints": fingerprints.oracle_sql(), "op9_exact_dedup": exact.ORACLE_SQL, "op10_licences": licences.oracle_sql()}
