@@ -21,7 +21,8 @@ from .textops import Words, slices, unique_terms
 #: At most so many labelled documents are fitted to; which, is decided by a hash of their id.
 TRAIN_ROWS = 20_000
 FACTORS = 4
-EPOCHS = 30
+EPOCHS = 100
+RATE = 0.5  # AdaGrad's, of the linear weights
 #: A term takes part if its share of toxic documents is so many standard errors from the rate of all.
 TERM_Z = 3.5
 MIN_DOCS = 3
@@ -88,14 +89,14 @@ def fit(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, seed: int = 7) ->
             g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - toxic[batch]) * weight[batch] / len(batch)
             dw = np.bincount(a, g[r], p) + 1e-5 * w
             gw += dw**2
-            w -= 0.2 * dw / np.sqrt(gw)
+            w -= RATE * dw / np.sqrt(gw)
             for f in range(FACTORS):
                 dv = np.bincount(a, g[r] * (sums[r, f] - va[:, f]), p) + 1e-4 * v[:, f]
                 gv[:, f] += dv**2
                 v[:, f] -= 0.05 * dv / np.sqrt(gv[:, f])
             d0 = g.sum()
             gw0 += d0 * d0
-            w0 -= 0.2 * d0 / gw0**0.5
+            w0 -= RATE * d0 / gw0**0.5
     model = FactorizationMachine(terms, w0, w, v, 0.0)
     check = held if toxic[held].any() and not toxic[held].all() else np.ones(rows, bool)
     s = model.score(row, at, rows)[check]
