@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import table
+from .names import free
 
 #: Largest set of repeated fingerprints, in bytes as written, that is sent to every executor; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -91,7 +92,6 @@ class CountingQuotientFilter:
         return cls(bits, q, occupied, runend, np.flatnonzero(used), remainder, counts)
 
 
-
 def _filters(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     got = [np.zeros(0, np.int64)]
     for b in batches:
@@ -123,7 +123,7 @@ def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
 
 def _marked(docs: DataFrame, text: str) -> tuple[DataFrame, Column, Column]:
     """docs with the fingerprint of its text and whether this occurs again; the two columns' names are not in docs."""
-    fp, dup = _free(docs, "fp"), _free(docs, "dup")
+    fp, dup = free(docs, "fp", "dup")
     known = table(repeated_fingerprints(docs.where(F.col(text).isNotNull()).select(F.xxhash64(text))), "repeated")
     right = known.df.select(F.col("fp").alias(dup))
     right = F.broadcast(right) if known.bytes <= BROADCAST_BYTES else right
@@ -131,14 +131,6 @@ def _marked(docs: DataFrame, text: str) -> tuple[DataFrame, Column, Column]:
     return marked.join(right, F.col(fp) == F.col(dup), "left"), F.col(fp), F.col(dup)
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that docs hasn't."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of docs: doc_id, keep_id (the smallest id with the same bytes of text), copies (rows with that text) and
     is_copy (keep_id is another id).
@@ -160,7 +152,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows with a null text all stay. Of repeated rows one stays. No rows give no rows."""
     marked, fp, dup = _marked(docs, text_col)
-    rn = _free(marked, "rn")
+    (rn,) = free(marked, "rn")
     w = Window.partitionBy(fp, F.col(text_col)).orderBy(F.col(id_col).asc_nulls_last())
     kept = marked.where(dup.isNotNull()).withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1)
     return marked.where(dup.isNull()).select(docs.columns).unionByName(kept.select(docs.columns))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import Table, table
+from .names import free
 from .textops import Words, mix, slices, unique_terms
 
 BITS = 128
@@ -233,5 +234,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs without the rows whose id is in a group of near copies and isn't the group's smallest; all columns stay.
 
     Rows that take no part in near_groups stay; repeated rows stay or go together."""
-    gone = near_groups(docs, id_col, text_col).where(F.col("doc_id") != F.col("keep_id")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    (name,) = free(docs, "gone")
+    gone = near_groups(docs, id_col, text_col).where(F.col("doc_id") != F.col("keep_id")).select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -28,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .durable import table
+from .names import free
 from .textops import Words, buffers, mix, prefix, slices, spans
 
 MIN_WORDS = 50
@@ -568,14 +569,7 @@ def _cut(texts: pa.Array, spans_of: list) -> tuple[list, np.ndarray]:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, chars_col: str | None = "n_chars") -> DataFrame:
     """docs with the spans that find_repeats calls cut taken out of the texts, up to the word after them; chars_col, if docs has
     it, is the new length of a text that was cut. A row of which no word is left goes. All other rows and columns stay."""
-    taken = {c.lower() for c in docs.columns}
-
-    def free(name: str) -> str:
-        while name.lower() in taken:
-            name = "_" + name
-        return name
-
-    spans_name, id_name, key_name = free("spans"), free("span_id"), free("span_key")
+    spans_name, id_name, key_name = free(docs, "spans", "span_id", "span_key")
     found = _found(docs, id_col, text_col, min_words).where("cut")
     cuts = found.groupBy(F.col("doc_id").alias(id_name), F.col("key").alias(key_name)).agg(F.collect_list(F.struct("first_word", "end_word")).alias(spans_name))
     joined = docs.join(cuts, (F.xxhash64(text_col) == F.col(key_name)) & F.col(id_col).cast("bigint").eqNullSafe(F.col(id_name)), "left")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .names import free
 from .textops import Words, slices, unique_terms
 
 #: At most so many labelled documents are fitted to; which, is decided by a hash of their id.
@@ -189,7 +190,5 @@ def find_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Da
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """docs without the rows that find_toxic calls toxic; all columns stay, whatever their names."""
     model = train(docs, labels, rows)
-    name = "score"
-    while name in {c.lower() for c in docs.columns}:
-        name = "_" + name
+    (name,) = free(docs, "score")
     return with_score(docs, model, name).where(F.col(name) <= model.threshold).select(docs.columns)
