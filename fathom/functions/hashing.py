@@ -26,7 +26,7 @@ def unsigned(x: int) -> int:
 def unsigned_text(x: Column) -> Column:
     """The unsigned decimal of a bit pattern."""
     d = x.cast("decimal(20,0)")
-    return F.when(x < 0, d + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(d).cast("decimal(20,0)").cast("string")
+    return F.when(x < 0, d + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(d).cast("decimal(20,0)").cast("string")
 
 
 def line_id(catalogue_order: Column, ordinal: Column) -> Column:
