@@ -23,7 +23,7 @@ from .textops import slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens whose ids a task remembers, and their longest in characters.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 REMEMBERED_CHARS = 64
 
 
@@ -88,42 +88,39 @@ class Tokenizer:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
 
-    def _learn(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of new pre-tokens. What was known before is forgotten when it is too much."""
-        got = dict(zip(words, self.processor.encode([to_characters(w.encode()) for w in words], num_threads=1)))
-        if len(self.known) + len(got) > REMEMBERED:
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts. Pre-tokens that aren't known are encoded once for all of them; when too many are known, all are forgotten."""
+        words = [self.split(t) for t in texts]
+        distinct = set(chain.from_iterable(words))
+        if len(self.known) + len(distinct) > REMEMBERED:
             self.known.clear()
-        self.known.update((w, k) for w, k in got.items() if len(w) <= REMEMBERED_CHARS)
-        return got
+        new = [w for w in distinct if w not in self.known]
+        self.known.update(zip(new, self.processor.encode([to_characters(w.encode()) for w in new], num_threads=1)))
+        ids = self.known.__getitem__
+        out = [list(chain.from_iterable(map(ids, w))) for w in words]
+        for w in new:
+            if len(w) > REMEMBERED_CHARS:
+                del self.known[w]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        words = self.split(text)
-        try:
-            return list(chain.from_iterable(map(self.known.__getitem__, words)))
-        except KeyError:
-            distinct = dict.fromkeys(words)
-            ids = {w: self.known[w] for w in distinct if w in self.known}
-            ids |= self._learn([w for w in distinct if w not in ids])
-            return list(chain.from_iterable(map(ids.__getitem__, words)))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
-        pieces = self.pieces
-        return b"".join([pieces[k] for k in ids]).decode("utf-8")
+        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8")
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     t = Tokenizer(sent.value)
     for b in slices(batches):
-        sizes, flat, whole = [], [], []
-        for text in b.column("text").to_pylist():
-            ids = t.encode(text) if text is not None else None
-            whole.append(None if ids is None else t.decode(ids) == text)
-            sizes.append(-1 if ids is None else len(ids))
-            flat.append(np.array(ids or [], np.int32))
-        n = np.array(sizes)
-        null = n < 0
-        offsets = np.concatenate([[0], np.cumsum(np.maximum(n, 0))]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)), mask=pa.array(null))
+        texts = b.column("text").to_pylist()
+        encoded = t.encode_all([x or "" for x in texts])
+        null = np.array([x is None for x in texts])
+        whole = [None if x is None else t.decode(ids) == x for x, ids in zip(texts, encoded)]
+        n = np.array([len(ids) for ids in encoded])
+        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(n.sum()))
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(null))
         yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "tokens": pa.array(n, pa.int32(), mask=null), "round_trip": pa.array(whole, pa.bool_()), "ids": ids})
 
 
