@@ -32,6 +32,7 @@ class Table:
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{folder(self.spark).rstrip('/')}/fathom-{label}-{uuid.uuid4().hex}"
+        atexit.register(self._expire)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -41,9 +42,17 @@ class Table:
         return fs.getContentSummary(p).getLength()
 
     def drop(self) -> None:
+        atexit.unregister(self._expire)
         fs, p = _fs(self.spark, self.path)
         fs.delete(p, True)
 
+    def _expire(self) -> None:
+        """A table that a result still reads is dropped when the driver ends."""
+        try:
+            self.drop()
+        except Exception:  # noqa: BLE001 - the session may be gone
+            pass
+
 
 def table(df: DataFrame, label: str) -> Table:
     return Table(df, label)

@@ -22,7 +22,7 @@ from .names import free
 from .textops import Words, mix, slices, unique_terms
 
 BITS = 128
-RADIUS = 18
+RADIUS = 20
 #: A code of fewer distinct words than this is near only to the same code.
 MIN_TERMS = 8
 #: Of the pairs at RADIUS, the part that must share a shard; nearer pairs are found more often.
