@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +73,12 @@ def query(sql: str | None = None, *views: str):
     """Registers a query, and its SQL over the views."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast("bigint") for c, t in df.dtypes if t == "int"})  # integers as SQL has them
+
+        QUERIES[f.__name__] = whole
         if sql is not None:
             prefix = f"WITH {_with(*views)} " if views else ""
             ORACLES[f.__name__] = prefix + sql if not sql.lstrip().startswith(",") else prefix.rstrip() + sql
@@ -274,7 +281,7 @@ def duplicate_penalty(spark, sf):
 _PRIMARY = " OR ".join(f"contains(lower(text), '{w}')" for w in fusion.PRIMARY_WORDS)
 
 
-@query(f"SELECT line_id, round((CASE WHEN {_PRIMARY} THEN 0.03 ELSE 0 END) + (CASE WHEN list_contains(facets, '/era/e1') THEN 0.02 ELSE 0 END) + (CASE WHEN list_contains(facets, '/label/l3') THEN 0.02 ELSE 0 END), 6) AS total FROM vectors", "vectors")
+@query(f"SELECT line_id, round(((CASE WHEN {_PRIMARY} THEN 0.03 ELSE 0 END) + (CASE WHEN list_contains(facets, '/era/e1') THEN 0.02 ELSE 0 END) + (CASE WHEN list_contains(facets, '/label/l3') THEN 0.02 ELSE 0 END))::DOUBLE, 6) AS total FROM vectors", "vectors")
 def metadata_signal(spark, sf):
     return A.vectors(spark, sf).select("line_id", F.round(fusion.metadata_signal(F.col("text"), F.col("facets"), FACETS)["total"], 6).alias("total"))
 
@@ -413,7 +420,7 @@ def facet_canonical(spark, sf):
     return A.books(spark, sf).select("source_book_key", F.array_join(X.all_facets(F.col("topics"), F.concat("extra_facets", F.array(F.lit(" "), F.element_at("extra_facets", 1)))), "|").alias("facets"))
 
 
-@query("""SELECT source_book_key, f AS facet, CASE WHEN starts_with(f, '/author/') THEN 1 WHEN starts_with(f, '/era/') THEN 2 WHEN f = '/base' THEN 3 ELSE 0 END AS dimension, f = '/en' OR starts_with(f, '/en/') AS english
+@query("""SELECT source_book_key, f AS facet, (CASE WHEN starts_with(f, '/author/') THEN 1 WHEN starts_with(f, '/era/') THEN 2 WHEN f = '/base' THEN 3 ELSE 0 END)::BIGINT AS dimension, f = '/en' OR starts_with(f, '/en/') AS english
   FROM (SELECT source_book_key, unnest([topics] || extra_facets) AS f FROM books)""", "books")
 def facet_match(spark, sf):
     """Every facet of every book: its dimension, and whether it is below /en."""
