@@ -52,4 +52,4 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_toxicity, op4_language, op5_simhash, op6_packing, op7_wrappers, op8_suffix_array, op9_exact_dedup, op10_licences)}
-ORACLES = {"op1_fingerprints": fingerprints.oracle_sql(), "op9_exact_dedup": exact.ORACLE_SQL, "op10_licences": licences.oracle_sql()}
+ORACLES = {"op1_fingerprints": fingerprints.oracle_sql(), "op8_suffix_array": suffix.ORACLE_SQL, "op9_exact_dedup": exact.ORACLE_SQL, "op10_licences": licences.oracle_sql()}

@@ -590,3 +590,21 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols)).filter(pa.array(~bare))
 
     return joined.mapInArrow(run, schema)
+
+
+#: The same from all windows, for documents whose ids are unique.
+ORACLE_SQL = f"""
+WITH u AS MATERIALIZED (SELECT text, min(doc_id) AS least, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text),
+w AS MATERIALIZED (SELECT least, text, copies, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS words FROM u),
+p AS (SELECT least, words, unnest(generate_series(0, len(words) - {MIN_WORDS})) AS p FROM w WHERE len(words) >= {MIN_WORDS}),
+k AS (SELECT least, p, md5(array_to_string(words[p + 1:p + {MIN_WORDS}], ' ')) AS k FROM p),
+m AS MATERIALIZED (SELECT * FROM (SELECT least, p, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY least, p) AS r FROM k) WHERE n > 1),
+marks AS (SELECT least, p, false AS cut FROM m UNION ALL SELECT least, p, true FROM m WHERE r > 1),
+runs AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY least, cut ORDER BY p) + {MIN_WORDS} THEN 0 ELSE 1 END AS new FROM marks),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY least, cut ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM runs),
+spans AS (SELECT least, cut, min(p) AS first_word, max(p) + {MIN_WORDS} AS end_word FROM numbered GROUP BY least, cut, run)
+SELECT doc_id, 0 AS first_word, len(words)::INTEGER AS end_word, c.cut FROM documents JOIN w USING (text) JOIN (VALUES (false), (true)) c(cut) ON c.cut = false OR doc_id <> least
+  WHERE copies > 1 AND len(words) >= {MIN_WORDS}
+UNION ALL
+SELECT least AS doc_id, first_word::INTEGER, end_word::INTEGER, cut FROM spans JOIN w USING (least) WHERE copies = 1 OR cut
+"""
