@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,16 +52,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query for every vector: the first sentence-like line of its document is the query string."""
-    return vectors(spark, sf_dir).select((F.col("line_id") - 1).alias("query_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("q"), "vector")
+    """Every turn of every conversation is a query, with the vector of the conversation's number."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    c = read(spark, sf_dir, "conversations")
+    return c.join(e, F.col("vec_id") == F.col("conv_id")).select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("q"), "vector")
 
 
 def lexical_candidates(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
     """The k best lines of every query by a score made of the ids, as an index outside would hand them over."""
-    from pyspark.sql import Window
-
     v = vectors(spark, sf_dir)
-    q = v.select((F.col("line_id") - 1).alias("query_id"))
+    q = query_texts(spark, sf_dir).select("query_id")
     score = (((F.col("line_id") - 1) * 13 + F.col("query_id") * 7) % 300) / 10.0
     w = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "line_id")
     # ids only until the best are known, then their fields

@@ -30,7 +30,7 @@ VIEWS = {
     "vectors": """SELECT vec_id + 1 AS line_id, lpad(vec_id::VARCHAR, 10, '0') AS semantic_id, lang || '/' || source AS source_book_key, label::BIGINT AS section_id, 0 AS segment, vec_id % 7 = 0 AS is_pdf,
   CASE WHEN length(text) < 20 THEN 0 ELSE ('0x' || substr(sha256(text), 1, 15))::BIGINT END AS line_hash, ['/label/l' || label, '/era/e' || (vec_id % 4)] AS facets, embedding::DOUBLE[] AS vector, text
   FROM embeddings JOIN documents ON vec_id = doc_id""",
-    "queries": "SELECT line_id - 1 AS query_id, string_split(text, chr(10))[1] AS q, vector FROM vectors",
+    "queries": "SELECT conv_id * 100 + turn AS query_id, text AS q, embedding::DOUBLE[] AS vector FROM conversations JOIN embeddings ON vec_id = conv_id",
     "lexical": """SELECT * FROM (SELECT query_id, l.*, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, line_id) AS rank FROM
   (SELECT q.query_id, v.line_id, v.text, v.section_id, v.line_hash, v.source_book_key AS file_path, v.is_pdf, (((v.line_id - 1) * 13 + q.query_id * 7) % 300) / 10.0::DOUBLE AS bm25_score FROM vectors v, queries q) l) WHERE rank <= 100""",
     "semantic": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, line_id) AS rank FROM
@@ -60,7 +60,7 @@ ORDER = list(VIEWS)
 
 def _with(*names: str) -> str:
     """The views named, and those they are made of."""
-    need = {"lines": ["lines0"], "queries": ["vectors"], "lexical": ["vectors", "queries"], "semantic": ["vectors", "queries"], "features": ["queries", "vectors"]}
+    need = {"lines": ["lines0"], "lexical": ["vectors", "queries"], "semantic": ["vectors", "queries"], "features": ["queries"]}
     want, todo = set(), list(names)
     while todo:
         n = todo.pop()
@@ -492,13 +492,13 @@ def delete_book(spark, sf):
     return A.vectors(spark, sf).join(F.broadcast(gone), "source_book_key", "left_anti").select("line_id")
 
 
-@query("SELECT semantic_id, section_id FROM (SELECT lpad(vec_id::VARCHAR, 10, '0') AS semantic_id, label::BIGINT + CASE WHEN vec_id % 3 = 0 THEN 100 ELSE 0 END AS section_id FROM embeddings JOIN documents ON vec_id = doc_id)")
+@query("SELECT semantic_id, section_id FROM (SELECT lpad(vec_id::VARCHAR, 10, '0') AS semantic_id, label::BIGINT + CASE WHEN vec_id % 7 = 0 THEN 100 ELSE 0 END AS section_id FROM embeddings JOIN documents ON vec_id = doc_id)")
 def upsert(spark, sf):
-    """Every third vector is written again with another section."""
+    """The vectors of PDFs are written again with another section."""
     from .sources.vector_store import upserted
 
-    v = A.vectors(spark, sf).select("semantic_id", "section_id", "line_id")
-    new = v.where((F.col("line_id") - 1) % 3 == 0).withColumn("section_id", F.col("section_id") + 100)
+    v = A.vectors(spark, sf).select("semantic_id", "section_id", "is_pdf")
+    new = v.where("is_pdf").withColumn("section_id", F.col("section_id") + 100)
     return upserted(v, new).select("semantic_id", "section_id")
 
 
