@@ -164,25 +164,56 @@ def _shards(batches: Iterator[pa.RecordBatch], positions: np.ndarray, parts: int
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "rows": pa.array([payload[cuts[p] : cuts[p + 1]].tobytes()], pa.binary())})
 
 
-def _links(group: pa.Table) -> pa.Table:
+def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """labels (of every node, the least known node of its component) after the edges a, b."""
+    while True:
+        x, y = labels[a], labels[b]
+        low = np.minimum(x, y)
+        if (x == y).all():
+            return labels
+        np.minimum.at(labels, x, low)
+        np.minimum.at(labels, y, low)
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+
+
+def _trees(group: pa.Table) -> tuple[Forest, np.ndarray]:
+    """The trees of a partition's shards, and the rep of each node."""
     x = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64).reshape(-1, 4) for c in group.column("rows").chunks for v in c])
     x = x[np.argsort(x[:, 0], kind="stable")]
-    forest = Forest(np.ascontiguousarray(x[:, 1:3]), x[:, 0])
-    rep = x[:, 3].view(np.int64) if x.flags.c_contiguous else np.ascontiguousarray(x[:, 3]).view(np.int64)
+    return Forest(np.ascontiguousarray(x[:, 1:3]), x[:, 0]), np.ascontiguousarray(x[:, 3]).view(np.int64)
+
+
+def _links(group: pa.Table) -> pa.Table:
+    """Every near pair."""
+    forest, rep = _trees(group)
     found = [np.stack([np.minimum(rep[q], rep[k]), np.maximum(rep[q], rep[k]), d], 1) for q, k, d in forest.near(RADIUS)]
     got = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
     return pa.table({"a": got[:, 0], "b": got[:, 1], "distance": got[:, 2].astype(np.int32)})
 
 
+def _stars(group: pa.Table) -> pa.Table:
+    """The components of a partition's near pairs, as a link from the least rep of each to every other: a large group of copies has
+    as many links as members, however many pairs are near."""
+    forest, rep = _trees(group)
+    ids, node = np.unique(rep, return_inverse=True)
+    labels = np.arange(len(ids))
+    for q, k, _ in forest.near(RADIUS):
+        labels = join_labels(labels, node[q], node[k])
+    other = np.flatnonzero(labels != np.arange(len(ids)))
+    return pa.table({"a": ids[labels[other]], "b": ids[other]})
+
+
 LINKS = "a bigint, b bigint, distance int"
 
 
-def find_links(distinct: DataFrame, n: int) -> DataFrame:
-    """a < b and distance of every two of the codes (hi, lo, rep) that a shard's tree finds within RADIUS."""
+def find_links(distinct: DataFrame, n: int, pairs: bool = False) -> DataFrame:
+    """a < b of codes (hi, lo, rep), of n in all, that are near in a shard's tree: enough of them to connect what is near, or, with
+    pairs, every pair and its distance."""
     positions = samples(*plan(n))
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(positions) / 400_000))
-    sent = distinct.mapInArrow(lambda it: _shards(it, positions, parts), "part int, rows binary")
-    return sent.groupBy("part").applyInArrow(_links, LINKS).distinct()
+    sent = distinct.mapInArrow(lambda it: _shards(it, positions, parts), "part int, rows binary").groupBy("part")
+    return sent.applyInArrow(_links, LINKS).distinct() if pairs else sent.applyInArrow(_stars, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> Table:
@@ -222,7 +253,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     coded = table(d.mapInArrow(_coded, "doc_id bigint, hi bigint, lo bigint, terms int"), "codes")
     distinct = table(coded.df.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("terms").alias("terms")), "distinct")
     long = distinct.df.where(F.col("terms") >= MIN_TERMS)
-    links = find_links(long.select("hi", "lo", "rep"), distinct.df.count()).select("a", "b").where(F.col("a") != F.col("b"))
+    links = find_links(long.select("hi", "lo", "rep"), distinct.df.count())
     same = coded.df.join(distinct.df.select("hi", "lo", "rep"), ["hi", "lo"]).where(F.col("rep") != F.col("doc_id")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     roots = components(links.unionByName(same))
     coded.drop()

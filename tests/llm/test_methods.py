@@ -183,8 +183,12 @@ def test_simhash_recall(spark):
     near = (far <= simhash.RADIUS) & (n[:, None] >= simhash.MIN_TERMS) & (n[None, :] >= simhash.MIN_TERMS) & (far > 0)
     want = {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(near, 1)))}
     coded = spark.createDataFrame([(int(i), int(a), int(b), int(c)) for (i, _), (a, b), c in zip(rows, code.view(np.int64), n)], "rep bigint, hi bigint, lo bigint, terms int").where(f"terms >= {simhash.MIN_TERMS}")
-    links = {(r.a, r.b) for r in simhash.find_links(coded.select("hi", "lo", "rep"), len(rows)).collect() if r.distance > 0}
+    links = {(r.a, r.b) for r in simhash.find_links(coded.select("hi", "lo", "rep"), len(rows), pairs=True).collect() if r.distance > 0}
     assert links <= want and len(links) >= 0.9 * len(want) and want
+    stars = [(r.a, r.b) for r in simhash.find_links(coded.select("hi", "lo", "rep"), len(rows)).collect()]
+    every = [(r.a, r.b) for r in simhash.find_links(coded.select("hi", "lo", "rep"), len(rows), pairs=True).collect()]
+    roots = lambda edges: {r.node: r.root for r in simhash.components(spark.createDataFrame([(a, b, 0) for a, b in edges if a != b], simhash.LINKS)).df.collect()}
+    assert roots(stars) == roots(every) and len(stars) < len(every)
 
 
 def test_components(spark):
