@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Largest list of ids, in bytes, that is sent to every executor.
+BROADCAST_BYTES = 16 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,12 +63,14 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_candidates(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
     """The k best lines of every query by a score made of the ids, as an index outside would hand them over."""
-    v = vectors(spark, sf_dir)
-    q = query_texts(spark, sf_dir).select("query_id")
+    v, ids = vectors(spark, sf_dir), vectors(spark, sf_dir).select("line_id")
+    # queries are dealt by id first, so that the window below needs no shuffle of the product where the ids can be sent whole
+    q = query_texts(spark, sf_dir).select("query_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id")
+    small = ids.count() * 8 <= BROADCAST_BYTES
     score = (((F.col("line_id") - 1) * 13 + F.col("query_id") * 7) % 300) / 10.0
     w = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "line_id")
     # ids only until the best are known, then their fields
-    best = v.select("line_id").crossJoin(q).withColumn("bm25_score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = q.crossJoin(F.broadcast(ids) if small else ids).withColumn("bm25_score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.join(v.drop("vector", "semantic_id", "facets"), "line_id").withColumnRenamed("source_book_key", "file_path")
 
 

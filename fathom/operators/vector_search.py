@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import MIN_NORM, dot
 from .filters import SearchFilters
 
-#: Rows to a block.
+#: Vectors and queries to a block.
 BLOCK = 2048
+QUERY_BLOCK = 512
 #: Scores are compared as rounded to so many places, so that the order doesn't hang on the order of summation.
 PLACES = 9
 
@@ -37,18 +38,18 @@ def search(vectors: DataFrame, query: list[float], k: int, filters: SearchFilter
     if k <= 0 or not comparable(query):
         return vectors.withColumn("similarity", F.lit(0.0)).limit(0)
     v = np.asarray(query, float)
-    unit = F.array(*[F.lit(float(x)) for x in v / np.linalg.norm(v)])
+    unit = F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in v / np.linalg.norm(v)) + ")")  # one call, however many dimensions
     rows = (filters or SearchFilters()).apply(vectors).withColumn("similarity", F.round(dot(F.col("vector"), unit), PLACES))
     return rows.where(~F.isnan("similarity")).orderBy(F.desc("similarity"), "semantic_id").limit(k)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], key: str, rows: int, prefix: str = "") -> Iterator[pa.RecordBatch]:
     """Rows (key, vector) as blocks: keys and a matrix of float32."""
     for b in batches:
-        for at in range(0, b.num_rows, BLOCK):
-            part = b.slice(at, BLOCK)
+        for at in range(0, b.num_rows, rows):
+            part = b.slice(at, rows)
             values = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({"keys": pa.array([part.column(key).to_pylist()], pa.list_(pa.int64())), "data": pa.array([values.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({f"{prefix}keys": pa.array([part.column(key).to_pylist()], pa.list_(pa.int64())), f"{prefix}data": pa.array([values.tobytes()], pa.binary())})
 
 
 def _multiplied(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -71,8 +72,8 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int, filters: SearchFi
     rows = (filters or SearchFilters()).apply(vectors)
     conf = vectors.sparkSession.conf
     tasks = int(conf.get("spark.sql.shuffle.partitions"))
-    v = rows.select("line_id", "vector").mapInArrow(lambda it: _cut(it, "line_id"), "keys array<bigint>, data binary")
-    q = queries.select("query_id", "vector").mapInArrow(lambda it: _cut(it, "query_id"), "q_keys array<bigint>, q_data binary")
+    v = rows.select("line_id", "vector").mapInArrow(lambda it: _cut(it, "line_id", BLOCK), "keys array<bigint>, data binary")
+    q = queries.select("query_id", "vector").mapInArrow(lambda it: _cut(it, "query_id", QUERY_BLOCK, "q_"), "q_keys array<bigint>, q_data binary")
     # every pair of blocks is a row of its own, dealt evenly: blocks are few and large
     pairs = q.crossJoin(v).repartition(tasks)
     best = pairs.mapInArrow(lambda it: _multiplied(it, k), "query_id bigint, line_id bigint, similarity double")
