@@ -7,6 +7,7 @@ import json
 import os
 import re
 import shutil
+import time
 from dataclasses import asdict, dataclass, fields
 
 METADATA_VERSION = 2
@@ -103,6 +104,10 @@ def check_payload_name(name: str) -> None:
         raise UnsafePayloadName(f"{name!r} {why}")
 
 
+def utc_now() -> str:
+    return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+
+
 def sha256_file(path: str) -> str:
     h = hashlib.sha256()
     with open(path, "rb") as f:
@@ -132,7 +137,7 @@ class Package:
             check_payload_name(name)
             path = os.path.join(root, name)
             payloads[name] = {"sha256": sha256_file(path), "size_bytes": os.path.getsize(path)}
-        return cls(identity, book_count, vector_count, sum(p["size_bytes"] for p in payloads.values()), payloads, created_at)
+        return cls(identity, book_count, vector_count, sum(p["size_bytes"] for p in payloads.values()), payloads, created_at or utc_now())
 
     def write(self, root: str) -> None:
         body = {"metadata_version": self.metadata_version, "identity": asdict(self.identity), "book_count": self.book_count, "vector_count": self.vector_count, "total_size_bytes": self.total_size_bytes, "created_at": self.created_at}

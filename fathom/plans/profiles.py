@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 HYBRID, LEXICAL_ONLY, SEMANTIC_ONLY = "Hybrid", "Lexical Only", "Semantic Only"
 RRF, WEIGHTED, ADAPTIVE = "RRF", "Weighted", "Adaptive"
-DEFAULT_THRESHOLD = 0.0
+DEFAULT_THRESHOLD = 0.55
 
 
 @dataclass(frozen=True)
