@@ -445,6 +445,39 @@ def test_licences_against_brute_force(spark, docs, rows):
     assert {tuple(r) for r in licences.scan(docs).collect()} == want
 
 
+def test_licences_within_other_text(spark):
+    full = {n: t for n, _, t in licences.TEMPLATES}
+    r = random.Random(5)
+    prose = lambda n: " ".join(r.choice("river stone letter garden winter copper quiet lantern market".split()) for _ in range(n))
+    mit = re.sub(r" (The above copyright|THE SOFTWARE IS PROVIDED)", r"\n\n\1", full["mit-text"], count=2)
+    bsd = re.sub(r" (1\. Redist|2\. Redist|THIS SOFTWARE IS PROVIDED)", r"\n\n\1", full["bsd-2-text"])
+    gpl = re.sub(r" (This program is distributed|See the GNU)", r"\n\n\1", full["gpl-3-notice"])
+    assert mit.count("\n\n") == 2 and bsd.count("\n\n") == 3
+    rows = [
+        (1, f"{prose(300)}\n\nCopyright 2020 someone\n\n{mit}\n\n{prose(400)}", "mit-text"),
+        (2, f"/* {prose(90)}\n\n{bsd}\n\n{prose(200)} */", "bsd-2-text"),
+        (3, f"{prose(50)}\n\n{gpl}\n\n{prose(500)}", "gpl-3-notice"),
+        (4, "mylib 1.2 is released under the MIT License, see LICENSE for details.", "mit-notice"),
+        (5, " ".join([full["mit-text"]] * 3), "mit-text"),
+        (6, prose(900), None),
+    ]
+    grams = lambda w: {*zip(w, w[1:])}
+    words = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", t.lower())
+    want = set()
+    for i, text, name in rows:
+        w = words(text)
+        found = set()
+        for k, licence, t in licences.TEMPLATES:
+            g, n = grams(words(t)), len(words(t))
+            units = [grams(w[a : a + n]) for a in range(len(w) - n + 1)] + [grams(words(u)) for u in (*text.split("\n"), *text.split("\n\n"), text)]
+            best = max((2 * len(u & g) / (len(u) + len(g)) for u in units if u), default=0)
+            if best >= licences.THRESHOLD:
+                found.add((i, k, licence, round(best, 6)))
+        assert name in {k for _, k, _, _ in found} if name else not found
+        want |= found
+    assert {tuple(x) for x in licences.scan(spark.createDataFrame([x[:2] for x in rows], "doc_id bigint, text string")).collect()} == want
+
+
 # --- the pipeline
 
 
