@@ -152,6 +152,30 @@ def test_language(spark):
     assert got[10**9].rejected and got[10**9 + 1].rejected and got[10**9].language is None
 
 
+def test_language_rejects_what_it_has_not_seen(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    r = random.Random(7)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    unseen = [
+        "Suomi on Pohjois-Euroopassa sijaitseva valtio, jonka rajanaapurit ovat Ruotsi, Norja ja Venäjä. Maan pääkaupunki on Helsinki.",
+        "Россия является крупнейшим по площади государством мира. Столица страны находится в Москве.",
+        "中国位于亚洲东部,太平洋西岸,是世界上人口最多的国家之一。首都北京是全国的政治和文化中心。",
+        "Polska jest państwem położonym w Europie Środkowej między Morzem Bałtyckim a Karpatami. Stolicą kraju jest Warszawa.",
+        "Jamhuri ya Kenya ni nchi iliyoko Afrika ya Mashariki, mji mkuu wake ni Nairobi na lugha rasmi ni Kiswahili.",
+        "Magyarország közép-európai ország, fővárosa Budapest, hivatalos nyelve a magyar, lakosainak száma csaknem tízmillió.",
+        "for (int i = 0; i < n; ++i) { if (a[i] > max) { max = a[i]; idx = i; } } return std::make_pair(max, idx); // #include <vector>",
+        some("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 600),
+        some("0123456789abcdef", 600),
+        "<div class='x'><span id=a1>{{ v.k }}</span></div>" * 5,
+    ]
+    odd = spark.createDataFrame([(10**9 + k, t, None, "x", 1) for k, t in enumerate(unseen)], d.schema)
+    want = {x.doc_id: x.lang for x in d.select("doc_id", "lang").collect()}
+    got = {x.doc_id: x for x in language.identify(d.unionByName(odd)).collect()}
+    assert [t for k, t in enumerate(unseen) if not got[10**9 + k].rejected] == []
+    assert sum(got[i].language == want[i] for i in want) / len(want) > 0.98
+    assert sum(got[i].rejected for i in want) / len(want) < 0.01
+
+
 # --- 5
 
 
