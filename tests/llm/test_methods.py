@@ -322,6 +322,14 @@ def test_template_and_slots(spark):
         assert r.content == "\n".join([f"Head {i}", f"Body {i}"] + [f"More {i}"] * (i % 3)) and r.template_nodes == 4
 
 
+def test_varying_text_in_any_element_is_content(spark):
+    page = "<html><head><title>Shop</title></head><body><form><h1>Our shop</h1><p>Body {0}</p><aside>Note {0}</aside><ul class=menu><li>Soup {0}</li></ul><button>Buy {0}</button></form><nav>Go {0}</nav><div class=ad>Ad {0}</div></body></html>"
+    rows = [(i, f"https://forms.example/{i}", page.format(i)) for i in range(10)]
+    for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect():
+        assert re.findall(r"\w+ \d", r.content) == [f"{w} {r.page_id}" for w in ("Body", "Note", "Soup", "Buy")]
+        assert "Our shop" not in r.content and r.template_nodes == 1 and r.hidden_nodes == 3
+
+
 def test_pages_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     got = {r.page_id: r for r in queries.op7_wrappers(spark, SF).collect()}
