@@ -322,6 +322,18 @@ def test_template_and_slots(spark):
         assert r.content == "\n".join([f"Head {i}", f"Body {i}"] + [f"More {i}"] * (i % 3)) and r.template_nodes == 4
 
 
+def test_hosts_with_empty_pages_and_two_layouts(spark):
+    article = "<html><body><div id=top><span>Site name</span></div><h2>Head {0}</h2><div class=text><p>Body {0}</p></div><p class=by>Written by staff</p></body></html>"
+    listing = "<html><body><div id=top><span>Site name</span></div><table><tr><th>All posts</th></tr><tr><td>Item {0}</td></tr></table><div class=pager>Older posts</div></body></html>"
+    rows = [(0, "https://two.example/0", None), (1, "https://two.example/1", ""), (2, "https://two.example/2", "<html><body></body></html>"), (3, "https://two.example/3", "<html><p>Error 3</p>")]
+    rows += [(i, f"https://two.example/{i}", (article if i % 5 < 3 else listing).format(i)) for i in range(10, 60)]
+    got = {r.page_id: r for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i].content for i in range(4)] == ["", "", "", "Error 3"]
+    for i in range(10, 60):
+        want = f"Head {i}\nBody {i}" if i % 5 < 3 else f"Item {i}"
+        assert (got[i].content, got[i].template_nodes) == (want, 2 if i % 5 < 3 else 3)
+
+
 def test_varying_text_in_any_element_is_content(spark):
     page = "<html><head><title>Shop</title></head><body><form><h1>Our shop</h1><p>Body {0}</p><aside>Note {0}</aside><ul class=menu><li>Soup {0}</li></ul><button>Buy {0}</button></form><nav>Go {0}</nav><div class=ad>Ad {0}</div></body></html>"
     rows = [(i, f"https://forms.example/{i}", page.format(i)) for i in range(10)]
