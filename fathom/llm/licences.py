@@ -56,7 +56,8 @@ version. This program is distributed in the hope that it will be useful, but WIT
 warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
 _CC = "This work is licensed under a Creative Commons {0} {1} International License."
 
-#: (template, licence, text). Full texts, the notices that licences ask for, and the one-line notices in common use.
+#: (template, licence, text). Texts of MIT, BSD and ISC, notices that licences ask for, and one-line notices in common use; the
+#: README lists the licences.
 TEMPLATES: list[tuple[str, str, str]] = [
     ("mit-text", "MIT", _MIT),
     ("mit-notice", "MIT", "Released under the MIT License."),
