@@ -87,6 +87,22 @@ class Tokenizer:
         self.pieces = [self.processor.id_to_piece(k).translate(_BYTES).encode("latin-1") for k in range(n)]
         self.split = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
+        self.sizes: dict[str, int] = {}
+
+    def count_all(self, texts: list[str]) -> list[int]:
+        """How many ids encode_all gives each text."""
+        words = [self.split(t) for t in texts]
+        distinct = set(chain.from_iterable(words))
+        if len(self.sizes) + len(distinct) > REMEMBERED:
+            self.sizes.clear()
+        new = [w for w in distinct if w not in self.sizes]
+        self.sizes.update(zip(new, map(len, self.processor.encode([to_characters(w.encode()) for w in new], num_threads=1))))
+        size = self.sizes.__getitem__
+        out = [sum(map(size, w)) for w in words]
+        for w in new:
+            if len(w) > REMEMBERED_CHARS:
+                del self.sizes[w]
+        return out
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts. Pre-tokens that aren't known are encoded once for all of them; when too many are known, all are forgotten."""
@@ -124,6 +140,20 @@ def _encoded(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "tokens": pa.array(n, pa.int32(), mask=null), "round_trip": pa.array(whole, pa.bool_()), "ids": ids})
 
 
+def _counted(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    t = Tokenizer(sent.value)
+    for b in slices(batches):
+        n = t.count_all([x or "" for x in b.column("text").to_pylist()])
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "h": b.column("h")})
+
+
+def sizes(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row of docs: doc_id, n (how many tokens encode gives its text; 0 for a null or empty one) and h (a hash of the text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(serialise(read_ranks(vocabulary)))
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    return d.mapInArrow(lambda it: _counted(it, sent), "doc_id bigint, n bigint, h bigint")
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of docs: doc_id, tokens (how many), round_trip (whether they decode to the text) and ids.
 

@@ -1,6 +1,7 @@
 """Packing (6): cost-balanced packing of documents into training sequences.
 
-A piece of n tokens costs n + n * n / QUADRATIC: the linear layers and the attention within the piece. Pieces are taken by
+Tokens are those of the byte-level BPE (2), so what is packed is what is trained on: a document of T tokens is cut at token
+borders, and no sequence holds more tokens than its capacity. A piece of n tokens costs n + n * n / QUADRATIC: the linear layers and the attention within the piece. Pieces are taken by
 falling size; each goes to the sequence of lowest cost among those with room for it, and to a new one if none has room. So
 sequences are full and cost about the same. Pieces are dealt by hash into shards of about SHARD_TOKENS tokens; each shard is
 packed by one task, and a corpus of any size is many shards of the same size.
@@ -15,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .durable import table
 
 #: Tokens to a sequence; a longer document is cut into pieces of as many.
 SEQUENCE_TOKENS = 4096
-#: Bytes of UTF-8 to a token, for the estimate of a document's tokens.
-TOKEN_BYTES = 4
 #: Tokens at which attention costs as much as the linear layers: six times the model's width, here 4096.
 QUADRATIC = 24_576
 SHARD_TOKENS = 1 << 24
@@ -50,14 +50,13 @@ def _pack(key: tuple, group: pa.Table, capacity: int) -> pa.Table:
     return pa.table({"sequence": pa.array((key[0].as_py() << 32) + sequence), **{c: group.column(c) for c in ("doc_id", "piece", "first_token", "tokens")}})
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE_TOKENS, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """sequence, doc_id, piece, first_token and tokens, for every piece of every row of docs: of a document of T tokens piece k holds
-    tokens k * capacity up to (k + 1) * capacity or T. T is the number of bytes / TOKEN_BYTES, rounded up.
+    tokens k * capacity up to (k + 1) * capacity or T, of those that bpe.encode gives with the same vocabulary.
 
     A null or empty text has no token and no piece. Pieces of equal size are taken by doc_id, nulls last, then by piece, in
     their shard. Repeated rows are packed each for itself. Other columns are not read, no rows give no rows."""
-    length = F.ceil(F.octet_length(text_col) / F.lit(TOKEN_BYTES)).cast("bigint")
-    sized = docs.where(F.octet_length(text_col) > 0).select(F.col(id_col).cast("bigint").alias("doc_id"), length.alias("n"), F.xxhash64(text_col).alias("h"))
+    sized = bpe.sizes(docs, vocabulary, id_col, text_col).where(F.col("n") > 0)
     held = table(sized, "sizes")
     total = held.df.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_TOKENS))

@@ -258,15 +258,41 @@ def test_assignment(tokens):
     assert packing.assign(np.array(tokens, np.int64), 64).tolist() == greedy(tokens, 64)
 
 
-def test_packing_query(spark, rows):
-    got = queries.op6_packing(spark, SF).collect()
-    pieces = []
+def real_tokens():
+    """Token numbers by another encoder of the same vocabulary."""
+    import tiktoken
+
+    e = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks={x: k for k, x in enumerate(bpe.read_ranks(bpe.VOCABULARY))}, special_tokens={})
+    return lambda t: len(e.encode_ordinary(t))
+
+
+def direct_packing(rows):
+    count, pieces = real_tokens(), []
     for i, t in rows:
-        n = -(-len(t.encode()) // packing.TOKEN_BYTES)
+        n = count(t)
         pieces += [(min(packing.SEQUENCE_TOKENS, n - a), i, a // packing.SEQUENCE_TOKENS, a) for a in range(0, n, packing.SEQUENCE_TOKENS)]
     pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
-    want = {(s, i, k, a, n) for s, (n, i, k, a) in zip(greedy([p[0] for p in pieces], packing.SEQUENCE_TOKENS), pieces)}
-    assert {tuple(r) for r in got} == want  # the fixture is one shard
+    return {(s, i, k, a, n) for s, (n, i, k, a) in zip(greedy([p[0] for p in pieces], packing.SEQUENCE_TOKENS), pieces)}
+
+
+def test_packing_query(spark, rows):
+    assert {tuple(r) for r in queries.op6_packing(spark, SF).collect()} == direct_packing(rows)  # the fixture is one shard
+
+
+def test_no_sequence_has_more_tokens_than_its_capacity(spark):
+    """By the ids of the tokenizer, cut where the pieces say."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ids = {r.doc_id: r.ids for r in bpe.encode(d).collect()}
+    held, seen = defaultdict(int), defaultdict(list)
+    for r in packing.pack(d).collect():
+        part = ids[r.doc_id][r.first_token : r.first_token + r.tokens]
+        assert len(part) == r.tokens
+        held[r.sequence] += len(part)
+        seen[r.doc_id].append((r.first_token, r.tokens))
+    assert max(held.values()) <= packing.SEQUENCE_TOKENS
+    for i, parts in seen.items():
+        assert [a for a, _ in sorted(parts)] == list(range(0, len(ids[i]), packing.SEQUENCE_TOKENS)) and sum(n for _, n in parts) == len(ids[i])
+    assert seen.keys() == {i for i, x in ids.items() if x}
 
 
 # --- 7
@@ -532,8 +558,7 @@ def test_pipeline_against_brute_force(spark, docs):
         before = [(r.doc_id, r.text) for r in d.collect()]
         out = stage(spark, d, sf)
         if name == "packing":
-            n = sum(-(-len(t.encode()) // packing.TOKEN_BYTES) for _, t in before if t)
-            assert sum(r.tokens for r in out.collect()) == n
+            assert {tuple(r) for r in out.collect()} == direct_packing(before)
             break
         after = [(r.doc_id, r.text) for r in out.collect()]
         assert out.columns == d.columns
