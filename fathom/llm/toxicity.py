@@ -1,8 +1,11 @@
 """Toxicity (3): a factorization machine over hashed terms.
 
 score(x) = w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the terms present in a text, so a pair of terms can count
-for more, or less, than the two alone. Terms are words of the lower-cased text, hashed to 44 bits. The model is fitted on
-the driver to a bounded sample of labelled rows (TRAIN_ROWS); it is a few thousand terms and goes to the executors whole.
+for more, or less, than the two alone. Terms are words of the lower-cased text, hashed to 44 bits. The model is fitted by one
+task to a bounded sample of labelled rows (TRAIN_ROWS); it is a few thousand terms and goes to the executors whole.
+
+A term takes part if it tells something of toxicity alone, or if a pair with it does: among the texts that hold a term which is at
+least somewhat frequent in toxic texts, all others are tried. A group's name that is toxic next to an insult only is found so.
 """
 
 from __future__ import annotations
@@ -27,6 +30,14 @@ RATE = 0.5  # AdaGrad's, of the linear weights
 #: A term takes part if its share of toxic documents is so many standard errors from the rate of all.
 TERM_Z = 3.5
 MIN_DOCS = 3
+#: Or if texts that hold it and a term of HEAD_Z at least are PAIR_Z beyond the rates of either, and so is that one then: there are
+#: far more pairs than terms, so chance must be ruled out more firmly; in PAIR_DOCS texts at least, PAIR_MORE of them beyond.
+HEAD_Z = 2.0
+PAIR_Z = 8.0
+PAIR_DOCS = 6
+PAIR_MORE = 4
+#: Cells of a table of pairs that are counted at once.
+PAIR_CELLS = 1 << 22
 BITMAP_BITS = 20
 
 
@@ -48,6 +59,46 @@ class FactorizationMachine:
         return out
 
 
+def _beyond(more: np.ndarray, n: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    return (more >= PAIR_MORE) & (more >= PAIR_Z * np.sqrt(n * rate * (1 - rate)))
+
+
+def partners(row: np.ndarray, at: np.ndarray, toxic: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Which terms tell of toxicity in a pair with a head (a mask of terms), more than either does alone, and these heads. (row, at): by row."""
+    n_terms = len(heads)
+    out = np.zeros(n_terms, bool)
+    first = np.searchsorted(row, np.arange(len(toxic) + 1))
+    rate = np.bincount(at, toxic[row], n_terms) / np.maximum(np.bincount(at, minlength=n_terms), 1)
+    heads = np.flatnonzero(heads)
+    step = max(1, PAIR_CELLS // max(1, n_terms))
+    place = np.full(n_terms, -1)
+    for some in (heads[k : k + step] for k in range(0, len(heads), step)):
+        place[some] = np.arange(len(some))
+        hold = np.flatnonzero(place[at] >= 0)  # (text, head) pairs, each with all terms of the text
+        n, hit = np.zeros(len(some) * n_terms, np.int32), np.zeros(len(some) * n_terms, np.int32)
+        size = first[row[hold] + 1] - first[row[hold]]
+        ends = np.cumsum(size)
+        a = 0
+        while a < len(hold):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIR_CELLS, "right")))
+            h, k = hold[a:z], size[a:z]
+            term = at[np.repeat(first[row[h]] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            cell = np.repeat(place[at[h]], k) * n_terms + term
+            n += np.bincount(cell, minlength=len(n)).astype(np.int32)
+            hit += np.bincount(cell[np.repeat(toxic[row[h]], k)], minlength=len(n)).astype(np.int32)
+            a = z
+        n, hit = n.reshape(len(some), n_terms), hit.reshape(len(some), n_terms)
+        for j, head in enumerate(some):
+            often = np.flatnonzero(n[j] >= PAIR_DOCS)
+            both, toxic_both = n[j, often], hit[j, often]
+            high, low = np.maximum(rate[often], rate[head]), np.minimum(rate[often], rate[head])
+            told = often[_beyond(toxic_both - both * high, both, high) | _beyond(both * low - toxic_both, both, low)]
+            out[told] = True
+            out[head] |= len(told) > 0
+        place[some] = -1
+    return out
+
+
 def fit(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, seed: int = 7) -> FactorizationMachine:
     """To texts 0..len(toxic), whose distinct terms are (row, term). With no rows, or one class only, nothing is toxic."""
     rows = len(toxic)
@@ -59,13 +110,16 @@ def fit(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, seed: int = 7) ->
     rate = toxic.mean()
     z = (hit - n * rate) / np.sqrt(n * rate * (1 - rate))
     keep = (n >= MIN_DOCS) & (np.abs(z) >= TERM_Z)
+    order = np.argsort(row, kind="stable")
+    row, at = row[order], at[order]
+    often = n >= PAIR_DOCS
+    use = often[at]
+    keep[np.flatnonzero(often)[partners(row[use], (np.cumsum(often) - 1)[at[use]], toxic, (z >= HEAD_Z)[often])]] = True
     if not keep.any():
         return none
     place = np.cumsum(keep) - 1
     use = keep[at]
     row, at, terms = row[use], place[at[use]], terms[keep]
-    order = np.argsort(row, kind="stable")
-    row, at = row[order], at[order]
     rng = np.random.RandomState(seed)
     held = rng.rand(rows) < 0.2
     p = len(terms)
@@ -116,20 +170,37 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(b.column("text"))
         doc, term = unique_terms(words.doc, words.hash)
         offsets = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic"), "terms": pa.ListArray.from_arrays(pa.array(offsets), pa.array(term.view(np.int64)))})
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "terms": pa.ListArray.from_arrays(pa.array(offsets), pa.array(term.view(np.int64)))})
+
+
+MODEL = "terms array<bigint>, w0 double, w array<double>, v array<double>, threshold double"
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the sample, as one row."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    group = pa.Table.from_batches(held).sort_by("doc_id")
+    terms = group.column("terms").combine_chunks()
+    flat, size = terms.flatten().to_numpy().view(np.uint64), np.diff(terms.offsets.to_numpy())
+    m = fit(np.repeat(np.arange(len(size)), size), flat, group.column("toxic").to_numpy(zero_copy_only=False).astype(bool))
+    many = lambda x, t: pa.array([x.tolist()], pa.list_(t))
+    yield pa.RecordBatch.from_pydict({"terms": many(m.terms.view(np.int64), pa.int64()), "w0": [m.w0], "w": many(m.w, pa.float64()), "v": many(m.v.ravel(), pa.float64()), "threshold": [m.threshold]})
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FactorizationMachine:
-    """On at most `rows` labelled rows of docs (doc_id, text) and labels (doc_id, toxic 0/1). Rows without a label, a text or
-    an id don't count; an id labelled more than once is toxic if any of its labels says so."""
-    one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    """On at most `rows` labelled ids of docs (doc_id, text) and labels (doc_id, toxic 0/1), by one task. Rows without a label, a
+    text or an id don't count; an id labelled more than once is toxic if any of its labels says so, and one of several texts
+    counts with the first of them in byte order."""
+    key = F.col("doc_id").cast("bigint").alias("doc_id")
+    one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(key).agg((F.max("toxic") > 0).alias("toxic"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    got = texts.mapInArrow(_terms, "toxic boolean, terms array<bigint>").toArrow()
-    terms = got.column("terms").combine_chunks()
-    flat = terms.flatten().to_numpy().view(np.uint64)
-    size = np.diff(terms.offsets.to_numpy()) if len(terms) else np.zeros(0, np.int64)
-    return fit(np.repeat(np.arange(len(size)), size), flat, got.column("toxic").to_numpy().astype(bool))
+    texts = docs.where(F.col("text").isNotNull()).select(key, "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = texts.mapInArrow(_terms, "doc_id bigint, toxic boolean, terms array<bigint>").repartition(1).mapInArrow(_fitted, MODEL).first()
+    if got is None:
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
+    return FactorizationMachine(np.array(got.terms, np.int64).view(np.uint64), got.w0, np.array(got.w), np.array(got.v).reshape(-1, FACTORS), got.threshold)
 
 
 class Scorer:
@@ -184,7 +255,7 @@ def find_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Da
     nothing is toxic."""
     model = train(docs, labels, rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _scored(it, sent), "doc_id bigint, score double, toxic boolean")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _scored(it, sent), "doc_id bigint, score double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

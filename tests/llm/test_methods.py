@@ -132,6 +132,57 @@ def test_interactions_are_learned():
     assert at([1, 2]) and not at([1]) and not at([2])
 
 
+@pytest.mark.parametrize("share, group", [(0.01, 0.1), (0.02, 0.05)])
+def test_rare_pairs_are_learned(share, group):
+    """An insult in 1 or 2 % and a group in 10 or 5 % of 20,000 texts, toxic together and not alone, next to a slur that is toxic alone and to words
+    that tell nothing: a text of both is toxic, and neither alone is."""
+    r = np.random.RandomState(3)
+    n = 20_000
+    insult, named, slur = r.rand(n) < share, r.rand(n) < group, r.rand(n) < 0.04
+    toxic = insult & named | slur
+    noise = r.randint(100, 3000, (n, 30)).astype(np.uint64)
+    terms = [(i, t) for i in range(n) for t in {*([1] * bool(insult[i])), *([2] * bool(named[i])), *([3] * bool(slur[i])), *noise[i].tolist()}]
+    row, term = (np.array(c, np.uint64) for c in zip(*terms))
+    m = toxicity.fit(row.astype(np.int64), term, toxic)
+    assert {1, 2, 3} <= set(m.terms.tolist())
+    at = lambda ts: m.score(np.zeros(len(ts), np.int64), np.searchsorted(m.terms, np.array(ts, np.uint64)), 1)[0] > m.threshold
+    assert at([1, 2]) and at([3]) and not at([1]) and not at([2])
+
+
+def test_partners_against_counting():
+    r = np.random.RandomState(4)
+    n, p = 3000, 12
+    x = r.rand(n, p) < r.rand(p) * 0.2 + 0.05
+    toxic = x[:, 0] & x[:, 1] | x[:, 2] & (r.rand(n) < 0.5)
+    heads = np.zeros(p, bool)
+    heads[[0, 2, 5]] = True
+    want = set()
+    for s in np.flatnonzero(heads):
+        for t in range(p):
+            both = x[:, s] & x[:, t]
+            n, hit, rates = both.sum(), toxic[both].sum(), (toxic[x[:, s]].mean(), toxic[x[:, t]].mean())
+            for more, rate in ((hit - n * max(rates), max(rates)), (n * min(rates) - hit, min(rates))):
+                if n >= toxicity.PAIR_DOCS and more >= toxicity.PAIR_MORE and more >= toxicity.PAIR_Z * np.sqrt(n * rate * (1 - rate)):
+                    want |= {s, t}
+    row, at = np.nonzero(x)
+    old = toxicity.PAIR_CELLS
+    for cells in (old, 30):
+        toxicity.PAIR_CELLS = cells
+        assert set(np.flatnonzero(toxicity.partners(row, at, toxic, heads))) == want and want
+    toxicity.PAIR_CELLS = old
+
+
+def test_toxicity_query_against_the_sum_over_pairs(spark, docs, rows):
+    """The query's scores by the definition, pair by pair, with the model that the same rows train."""
+    m = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    place = {int(t): k for k, t in enumerate(m.terms)}
+    got = {r.doc_id: r for r in queries.op3_toxicity(spark, SF).collect()}
+    for i, text in rows:
+        held = [place[int(t)] for t in {int(h) >> (64 - textops.TERM_BITS) for h in textops.hash_words(text)} if int(t) in place]
+        want = m.w0 + sum(m.w[a] for a in held) + sum(m.v[a] @ m.v[b] for k, a in enumerate(held) for b in held[:k])
+        assert np.isclose(got[i].score, want) and got[i].toxic == (got[i].score > m.threshold)
+
+
 def test_factorization_score_is_the_sum_over_pairs():
     r = np.random.RandomState(2)
     m = toxicity.FactorizationMachine(np.arange(5, dtype=np.uint64), 0.3, r.rand(5), r.rand(5, 4), 0.0)
