@@ -1,16 +1,23 @@
 """SimHash near-dedup (5): BK-trees over 128-bit SimHash codes.
 
 A text's code has a bit set where most of its distinct words' hashes have it. Codes within RADIUS of each other are near.
-Codes are spread over shards: each of several tables samples the bits of a code, and codes that agree in them share a shard.
+Codes are spread over shards by masks: each of several tables looks at some bits of a code, and codes that agree in them share
+a shard. The tables are a covering: the bits are cut into parts with a threshold each, such that of two codes within RADIUS
+some part differs in no more bits than its threshold t; the part's bits have vectors of t + 1 bits, not 0, and there is a
+table for each v but 0, of the bits whose vector has an odd product with v. Any t vectors have a v that is orthogonal to
+them, so in its table the two codes agree. Hence every near pair shares a shard, whatever the corpus.
+
 Each shard has a BK-tree, in which a node's children are keyed by their integer Hamming distance to it; every code queries
 the tree of each of its shards and follows only edges within the radius. A tree goes where the queries for it are, rather
-than to every executor: trees grow with the corpus. Near codes are linked, and the groups are the connected components.
+than to every executor: trees grow with the corpus. A shard of very many codes is cut into blocks, and each pair of blocks is
+a tree of its own. Near codes are linked, and the groups are the connected components.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +30,16 @@ from .textops import Words, mix, slices, unique_terms
 
 BITS = 128
 RADIUS = 20
-#: A code of fewer distinct words than this is near only to the same code.
-MIN_TERMS = 8
-#: Of the pairs at RADIUS, the part that must share a shard; nearer pairs are found more often.
-RECALL = 0.9
-#: Codes to a shard, about, in a corpus of many codes.
-SHARD = 64
+#: Thresholds + 1 of the parts, by table count; each adds up to RADIUS + 1. More tables have more bits, so smaller shards.
+FAMILIES = ((4, 4, 4, 4, 4, 1), (5, 5, 5, 6), (7, 7, 7), (10, 11))
+#: The first family is taken whose shards have so many codes on average, or fewer.
+SHARD = 5_000
+#: Codes of a shard beyond which it is cut into blocks of about as many, and the most shards that are.
+HOT = 50_000
+HOT_SHARDS = 1 << 20
+#: Entries (a code in a table) to a task, about.
+ENTRIES = 1 << 21
 LANES = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
-POPCOUNT16 = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
 
 
 def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,22 +65,22 @@ def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances between rows of two codes."""
-    x = (a ^ b).view(np.uint16)
-    return POPCOUNT16[x].reshape(len(a), -1).sum(1, dtype=np.int64)
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
 class Forest:
     """A BK-tree for each shard, all built level by level. codes: n x 2; shard: ascending, of each code. A code that a tree
-    has already is its node again (distance 0 is a child like any other)."""
+    has already is its node again (distance 0 is a child like any other). A node's descendants come after it in the order of codes."""
 
     def __init__(self, codes: np.ndarray, shard: np.ndarray):
         n = len(codes)
-        self.codes, self.parent, self.edge = codes, np.full(n, -1), np.zeros(n, np.int64)
+        self.hi, self.lo = np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])
+        self.parent, self.edge = np.full(n, -1), np.zeros(n, np.int16)
         self.root = np.searchsorted(shard, shard, "left")
         rest = np.flatnonzero(self.root != np.arange(n))
         at = self.root[rest]
         while len(rest):
-            d = distance(codes[rest], codes[at])
+            d = self._distance(rest, at)
             order = np.lexsort((rest, d, at))
             rest, at, d = rest[order], at[order], d[order]
             new = np.concatenate([[True], (at[1:] != at[:-1]) | (d[1:] != d[:-1])])
@@ -80,88 +89,147 @@ class Forest:
             at = child[np.cumsum(new) - 1]
             rest, at = rest[~new], at[~new]
         kids = np.flatnonzero(self.parent >= 0)
-        key = self.parent[kids] * (BITS + 1) + self.edge[kids]
-        order = np.argsort(key, kind="stable")
-        self.kids, self.key = kids[order], key[order]
+        self.kids = kids[np.argsort(self.parent[kids], kind="stable")]
+        self.first = np.searchsorted(self.parent[self.kids], np.arange(n + 1))
+
+    def _distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(self.hi[a] ^ self.hi[b]) + np.bitwise_count(self.lo[a] ^ self.lo[b])).astype(np.int16)
 
     def near(self, radius: int, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query, node, distance), node < query, for every code as a query of its own tree."""
-        for k in range(0, len(self.codes), chunk):
-            query = np.arange(k, min(k + chunk, len(self.codes)))
+        for k in range(0, len(self.root), chunk):
+            query = np.arange(k, min(k + chunk, len(self.root)))
+            query = query[self.root[query] < query]
             stack = [(query, self.root[query])]
             while stack:
                 q, node = stack.pop()
                 if len(q) > chunk:
                     stack += [(q[chunk:], node[chunk:])]
                     q, node = q[:chunk], node[:chunk]
-                d = distance(self.codes[q], self.codes[node])
-                hit = (d <= radius) & (node < q)
+                d = self._distance(q, node)
+                hit = d <= radius
                 if hit.any():
                     yield q[hit], node[hit], d[hit]
-                lo = np.searchsorted(self.key, node * (BITS + 1) + np.maximum(d - radius, 0), "left")
-                hi = np.searchsorted(self.key, node * (BITS + 1) + np.minimum(d + radius, BITS), "right")
-                n = hi - lo
-                if n.sum():
-                    stack.append((np.repeat(q, n), self.kids[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]))
-
-
-def plan(n: int) -> tuple[int, int]:
-    """(bits sampled, tables) for n codes: shards of about SHARD codes, and tables enough for RECALL at RADIUS."""
-    bits = min(40, max(16, math.ceil(math.log2(max(n, 1) / SHARD))))
-    p = math.comb(BITS - bits, RADIUS) / math.comb(BITS, RADIUS)
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - p))
-
-
-def samples(bits: int, tables: int, seed: int = 5) -> np.ndarray:
-    """tables x bits positions, spread so that every position is used about as often as any other."""
+                first = self.first[node]
+                n = self.first[node + 1] - first
+                total = int(n.sum())
+                if total:
+                    child = self.kids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(total)]
+                    again = np.repeat(q, n)
+                    follow = (np.abs(self.edge[child] - np.repeat(d, n)) <= radius) & (child < again)
+                    if follow.any():
+                        stack.append((again[follow], child[follow]))
+
+
+@lru_cache(maxsize=8)
+def covering(family: tuple[int, ...], seed: int = 5) -> np.ndarray:
+    """Masks (tables x 2 words) of which one at least misses every difference of up to RADIUS bits."""
     rng = np.random.RandomState(seed)
-    out, pool = [], []
-    for _ in range(tables):
-        if len(pool) < bits:
-            left, more = pool, [x for x in rng.permutation(BITS) if x not in set(pool)]
-            pool = left + more
-        out.append(sorted(pool[:bits]))
-        pool = pool[bits:]
+    share = np.array([(2**k - 1) / 2 ** (k - 1) for k in family])  # so that the tables of all parts look at about as many bits
+    cut = np.round(np.cumsum(share) / share.sum() * BITS).astype(int)
+    bits, out = rng.permutation(BITS), []
+    for k, lo, hi in zip(family, [0, *cut[:-1]], cut):
+        v = np.arange(1, 2**k)
+        best, least = None, math.inf
+        for _ in range(200):  # of some draws of vectors, the one with the fewest pairs that agree by chance
+            draw = np.concatenate([rng.permutation(v) for _ in range(math.ceil((hi - lo) / len(v)))])[: hi - lo]
+            odd = np.bitwise_count(v[:, None] & draw[None, :]) % 2 == 1
+            chance = (0.5 ** odd.sum(1)).sum()
+            if chance < least:
+                best, least = odd, chance
+        for row in best:
+            mask = np.zeros(2, np.uint64)
+            for b in bits[lo:hi][row]:
+                mask[b // 64] |= np.uint64(1) << np.uint64(b % 64)
+            out.append(mask)
     return np.array(out)
 
 
-def keys(code: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """n x tables shard keys."""
-    word, bit = positions // 64, (positions % 64).astype(np.uint64)
-    out = np.empty((len(code), len(positions)), np.uint64)
-    for t in range(len(positions)):
-        k = np.full(len(code), t, np.uint64)
-        for w, b in zip(word[t], bit[t]):
-            k = k << np.uint64(1) | (code[:, w] >> b & np.uint64(1))
-        out[:, t] = k
-    return out
+def plan(n: int) -> np.ndarray:
+    """The masks of the tables for n codes."""
+    for family in FAMILIES:
+        masks = covering(family)
+        if n * np.mean(0.5 ** np.bitwise_count(masks).sum(1, dtype=np.int64)) <= SHARD:
+            break
+    return masks
+
+
+def keys(code: np.ndarray, masks: np.ndarray, t: int | np.ndarray) -> np.ndarray:
+    """Shard keys of codes in table t, or in a table each."""
+    m = masks[t]
+    return mix(mix((code[:, 0] & m[..., 0]) + np.asarray(t, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (code[:, 1] & m[..., 1]))
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The code of every row, null where it takes no part."""
     for b in slices(batches):
         code, n = codes(b.column("text"))
-        batch = pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "hi": pa.array(code[:, 0].view(np.int64)), "lo": pa.array(code[:, 1].view(np.int64)), "terms": pa.array(n.astype(np.int32))})
-        yield batch.filter(pa.array(n > 0))
+        out = b.column("doc_id").is_null().to_numpy(zero_copy_only=False) | (n == 0)
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "hi": pa.array(code[:, 0].view(np.int64), mask=out), "lo": pa.array(code[:, 1].view(np.int64), mask=out)})
 
 
 def _code(b: pa.RecordBatch) -> np.ndarray:
     return np.stack([b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("hi", "lo")], 1)
 
 
-def _shards(batches: Iterator[pa.RecordBatch], positions: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """One row for each of a batch's codes and target partition: all shards' keys that go there."""
+def _heavy(batches: Iterator[pa.RecordBatch], masks: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Keys that have their share of HOT, by the rows of this partition, and how many rows have them."""
+    held = [_code(b) for b in batches]
+    if not held:
+        return
+    code = np.concatenate(held)
+    least = max(1, HOT * len(code) / n)
+    for t in range(len(masks)):
+        k, count = np.unique(keys(code, masks, t), return_counts=True)
+        k, count = k[count >= least], count[count >= least]
+        yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "n": pa.array(count)})
+
+
+def hot_shards(distinct: DataFrame, masks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, blocks) of shards with more than HOT codes, keys ascending, of at most HOT_SHARDS. A shard with more than twice as many is
+    among them; the cut into blocks is for evenness only, so that one left out is slower, not lost."""
+    if n <= HOT:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    count = distinct.select("hi", "lo").mapInArrow(lambda it: _heavy(it, masks, n), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    got = count.where(F.col("n") > HOT).orderBy(F.desc("n"), "key").limit(HOT_SHARDS).toArrow()
+    key = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], np.minimum(1 + got.column("n").to_numpy()[order] // HOT, 1 << 15)
+
+
+#: Columns of an entry, besides the code: its table, the number of its rep, and what says of which pair of blocks it is part.
+PLANES = (np.dtype("<u2"), np.dtype("<u8"), np.dtype("<u8"), np.dtype("<i8"), np.dtype("<u4"))
+
+
+def _shards(batches: Iterator[pa.RecordBatch], masks: np.ndarray, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row for each of a batch's codes and target group: all entries that go there."""
     for whole in batches:
         for at in range(0, whole.num_rows, 20_000):
             b = whole.slice(at, 20_000)
             code, rep = _code(b), b.column("rep").to_numpy()
-            k = keys(code, positions).ravel()
-            part = mix(k) % np.uint64(parts)
+            t = np.repeat(np.arange(len(masks)), len(code)).astype(np.uint16)
+            row = np.tile(np.arange(len(code)), len(masks))
+            key = np.concatenate([keys(code, masks, k) for k in range(len(masks))])
+            pair = np.zeros(len(key), np.uint32)
+            if len(hot[0]):
+                found = np.minimum(np.searchsorted(hot[0], key), len(hot[0]) - 1)
+                is_hot = hot[0][found] == key
+                cold, warm = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+                blocks = hot[1][found[warm]]
+                own = np.repeat((mix(code[row[warm], 0] ^ mix(code[row[warm], 1])) % blocks.astype(np.uint64)).astype(np.int64), blocks)
+                other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                many = np.concatenate([cold, np.repeat(warm, blocks)])
+                # a pair of blocks (a, b), a <= b, and the side: which of them the code is of; at most 2 ** 15 blocks
+                both = 2 * ((np.minimum(own, other) << 15) + np.maximum(own, other)) + (own > other)
+                pair = np.concatenate([np.zeros(len(cold), np.int64), both]).astype(np.uint32)
+                t, row, key = t[many], row[many], key[many]
+            part = (mix(key + (pair >> np.uint32(1)).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            row = order // len(positions)
-            payload = np.stack([k[order], code[row, 0], code[row, 1], rep[row].view(np.uint64)], 1)
-            for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "rows": pa.array([payload[cuts[p] : cuts[p + 1]].tobytes()], pa.binary())})
+            columns = [c[order] for c in (t, code[row, 0], code[row, 1], rep[row], pair)]
+            some = np.flatnonzero(cuts[1:] > cuts[:-1])
+            data = [b"".join(c[cuts[p] : cuts[p + 1]].astype(k).tobytes() for c, k in zip(columns, PLANES)) for p in some]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int64()), "rows": pa.array(data, pa.binary())})
 
 
 def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,43 +245,71 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def _trees(group: pa.Table) -> tuple[Forest, np.ndarray]:
-    """The trees of a partition's shards, and the rep of each node."""
-    x = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64).reshape(-1, 4) for c in group.column("rows").chunks for v in c])
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    return Forest(np.ascontiguousarray(x[:, 1:3]), x[:, 0]), np.ascontiguousarray(x[:, 3]).view(np.int64)
-
-
-def _links(group: pa.Table) -> pa.Table:
-    """Every near pair."""
-    forest, rep = _trees(group)
-    found = [np.stack([np.minimum(rep[q], rep[k]), np.maximum(rep[q], rep[k]), d], 1) for q, k, d in forest.near(RADIUS)]
-    got = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-    return pa.table({"a": got[:, 0], "b": got[:, 1], "distance": got[:, 2].astype(np.int32)})
+def _entries(group: pa.Table) -> list[np.ndarray]:
+    """The columns of a group's entries."""
+    size = sum(k.itemsize for k in PLANES)
+    held: list[list[np.ndarray]] = [[] for _ in PLANES]
+    for chunk in group.column("rows").chunks:
+        for v in chunk:
+            data = v.as_buffer()
+            n, at = len(data) // size, 0
+            for k, column in zip(PLANES, held):
+                column.append(np.frombuffer(data, k, n, at))
+                at += n * k.itemsize
+    return [np.concatenate(c) for c in held]
+
+
+def _first(x: np.ndarray, t: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Of differences x in tables t that miss them, which no earlier table misses."""
+    out = np.ones(len(t), bool)
+    left = np.flatnonzero(t > 0)
+    for k in range(len(masks)):
+        if not len(left):
+            break
+        missed = ((x[left, 0] & masks[k, 0]) | (x[left, 1] & masks[k, 1])) == 0
+        out[left[missed]] = False
+        left = left[~missed & (t[left] > k + 1)]
+    return out
 
 
-def _stars(group: pa.Table) -> pa.Table:
-    """The components of a partition's near pairs, as a link from the least rep of each to every other: a large group of copies has
-    as many links as members, however many pairs are near."""
-    forest, rep = _trees(group)
+def _found(group: pa.Table, masks: np.ndarray) -> pa.Table:
+    """What connects the near codes of a group's trees, as a link (a, b) from the least rep of each component to every other, so that a
+    large group has as many links as members, however many pairs are near; and (a, null, n): how many near codes rep a has by
+    pairs that no earlier table has."""
+    t, hi, lo, rep, pair = _entries(group)
+    code = np.stack([hi, lo], 1)
+    key = keys(code, masks, t.astype(np.int64))
+    block = pair >> np.uint32(1)
+    order = np.lexsort((block, key)) if pair.any() else np.argsort(key)  # the table is in the key
+    t, code, rep, pair, key, block = (c[order] for c in (t, code, rep, pair, key, block))
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+    crossed = (block >> np.uint32(15)) != (block & np.uint32((1 << 15) - 1))  # of two different blocks
+    forest = Forest(code, np.cumsum(new))
     ids, node = np.unique(rep, return_inverse=True)
-    labels = np.arange(len(ids))
+    labels, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
     for q, k, _ in forest.near(RADIUS):
+        real = ~crossed[q] | (pair[q] != pair[k])
+        q, k = q[real], k[real]
         labels = join_labels(labels, node[q], node[k])
-    other = np.flatnonzero(labels != np.arange(len(ids)))
-    return pa.table({"a": ids[labels[other]], "b": ids[other]})
+        one = _first(code[q] ^ code[k], t[q], masks)
+        links += np.bincount(node[q[one]], minlength=len(ids)) + np.bincount(node[k[one]], minlength=len(ids))
+    other, some = np.flatnonzero(labels != np.arange(len(ids))), np.flatnonzero(links)
+    a = np.concatenate([ids[labels[other]], ids[some]])
+    b = pa.array(np.concatenate([ids[other], ids[some]]), mask=np.arange(len(a)) >= len(other))
+    return pa.table({"a": a, "b": b, "n": np.concatenate([np.zeros(len(other), np.int64), links[some]])})
 
 
-LINKS = "a bigint, b bigint, distance int"
+LINKS = "a bigint, b bigint, n bigint"
 
 
-def find_links(distinct: DataFrame, n: int, pairs: bool = False) -> DataFrame:
-    """a < b of codes (hi, lo, rep), of n in all, that are near in a shard's tree: enough of them to connect what is near, or, with
-    pairs, every pair and its distance."""
-    positions = samples(*plan(n))
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(positions) / 400_000))
-    sent = distinct.mapInArrow(lambda it: _shards(it, positions, parts), "part int, rows binary").groupBy("part")
-    return sent.applyInArrow(_links, LINKS).distinct() if pairs else sent.applyInArrow(_stars, "a bigint, b bigint").distinct()
+def find_links(distinct: DataFrame, n: int) -> DataFrame:
+    """Of n different codes (hi, lo, rep): links (a, b) enough to connect what is near, and rows (a, null, n), whose sum is the number of
+    codes near to that of rep a."""
+    masks = plan(n)
+    hot = hot_shards(distinct, masks, n)
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(masks) / ENTRIES))
+    sent = distinct.select("hi", "lo", "rep").mapInArrow(lambda it: _shards(it, masks, parts, hot), "part bigint, rows binary")
+    return sent.groupBy("part").applyInArrow(lambda g: _found(g, masks), LINKS)
 
 
 def components(links: DataFrame) -> Table:
@@ -244,27 +340,37 @@ def components(links: DataFrame) -> Table:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and keep_id, for every id in a group of two or more; keep_id is the smallest id of the group.
-
-    Rows without an id, a text or a word take no part. Ids of repeated rows count once; an id whose rows have different
-    texts belongs to the groups of all of them, and joins these. Texts of fewer than MIN_TERMS distinct words are near only to
-    texts of the same words. Other columns are not read, no rows give no rows."""
-    d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    coded = table(d.mapInArrow(_coded, "doc_id bigint, hi bigint, lo bigint, terms int"), "codes")
-    distinct = table(coded.df.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("terms").alias("terms")), "distinct")
-    long = distinct.df.where(F.col("terms") >= MIN_TERMS)
-    links = find_links(long.select("hi", "lo", "rep"), distinct.df.count())
-    same = coded.df.join(distinct.df.select("hi", "lo", "rep"), ["hi", "lo"]).where(F.col("rep") != F.col("doc_id")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    roots = components(links.unionByName(same))
-    coded.drop()
-    distinct.drop()
-    return roots.df.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id")).unionByName(roots.df.select(F.col("root").alias("doc_id"), F.col("root").alias("keep_id")).distinct())
+    """For every row of docs: doc_id, keep_id (the smallest id of its group), links (how many other codes are near to its own), copies
+    (rows with the same code) and is_copy (keep_id is another id).
+
+    A row without an id, a text or a word is in no group: keep_id is its own id, links 0, copies 1. Repeated rows count as
+    copies of each other and have the same row here. Rows of one id with different texts join the groups of these texts.
+    Other columns are not read, no rows give no rows."""
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    coded = table(d.mapInArrow(_coded, "doc_id bigint, hi bigint, lo bigint"), "codes")
+    real = coded.df.where(F.col("hi").isNotNull())
+    distinct = table(real.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "distinct")
+    found = table(find_links(distinct.df, distinct.df.count()), "links")
+    # ids with several codes, each of which is linked to the least of them
+    several = real.groupBy("doc_id").agg((F.min(F.struct("hi", "lo")) != F.max(F.struct("hi", "lo"))).alias("several")).where("several").select("doc_id")
+    reps = real.join(several, "doc_id").select("doc_id", "hi", "lo").distinct().join(distinct.df, ["hi", "lo"]).select("doc_id", "rep")
+    same = reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b"))
+    roots = components(found.df.where(F.col("b").isNotNull()).select("a", "b").unionByName(same).distinct())
+    count = found.df.where(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    stats = distinct.df.join(count, "rep", "left").join(roots.df.withColumnRenamed("node", "rep"), "rep", "left")
+    stats = stats.select("hi", "lo", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "copies").where("links > 0 OR copies > 1 OR root != rep")
+    marks = table(stats, "marks")
+    for t in (distinct, found, roots):
+        t.drop()
+    keep = F.coalesce("root", "doc_id")
+    is_copy = F.coalesce(keep != F.col("doc_id"), F.lit(False)).alias("is_copy")
+    return coded.df.join(marks.df, ["hi", "lo"], "left").select("doc_id", keep.alias("keep_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), is_copy)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id is in a group of near copies and isn't the group's smallest; all columns stay.
 
-    Rows that take no part in near_groups stay; repeated rows stay or go together."""
+    Rows that are in no group stay; repeated rows stay or go together."""
     (name,) = free(docs, "gone")
-    gone = near_groups(docs, id_col, text_col).where(F.col("doc_id") != F.col("keep_id")).select(F.col("doc_id").alias(name))
+    gone = near_groups(docs, id_col, text_col).where("is_copy").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -53,11 +53,12 @@ def per_row(docs, labels):
         "toxic": toxicity.find_toxic(docs, labels),
         "language": language.identify(docs),
         "copies": exact.find_copies(docs),
+        "near": simhash.near_groups(docs),
     }
 
 
 def several(docs, labels):
-    return {"near": simhash.near_groups(docs), "packing": packing.pack(docs), "repeats": suffix.find_repeats(docs), "licences": licences.scan(docs)}
+    return {"packing": packing.pack(docs), "repeats": suffix.find_repeats(docs), "licences": licences.scan(docs)}
 
 
 def filters(docs, labels):
@@ -111,8 +112,11 @@ def test_exact(docs):
 
 
 def test_near(docs):
-    groups = {(r.doc_id, r.keep_id) for r in simhash.near_groups(docs).collect()}
-    assert groups == {(1, 1), (2, 1), (6, 6), (7, 6)}
+    got = sorted((tuple(r) for r in simhash.near_groups(docs).collect()), key=repr)
+    alone = [(r[0], r[0], 0, 1, False) for r in ROWS if r[0] in (None, 3, 4, 5, 8, 9, 10)]
+    assert got == sorted([(1, 1, 0, 3, False), (1, 1, 0, 3, False), (2, 1, 0, 3, True), (6, 6, 1, 1, False), (7, 6, 1, 1, True), *alone], key=repr)
+    several = docs.sparkSession.createDataFrame([(1, "one two"), (2, "three four"), (2, "one two"), (3, "four three")], "doc_id int, text string")
+    assert {(r.doc_id, r.keep_id) for r in simhash.near_groups(several).collect()} == {(1, 1), (2, 1), (3, 1)}
     kept = [r.doc_id for r in simhash.drop_near_copies(docs).collect()]
     assert kept.count(1) == 2 and kept.count(None) == 2 and 2 not in kept and 7 not in kept
 

@@ -244,26 +244,82 @@ def test_bk_trees_find_what_brute_force_finds():
     want = {(i, j, dist(i, j)) for i in range(len(codes)) for j in range(i) if shard[i] == shard[j] and dist(i, j) <= simhash.RADIUS}
     assert got == want
     root = forest.root[0]
-    child = forest.kids[np.searchsorted(forest.key, root * 129) : np.searchsorted(forest.key, root * 129 + 129)]
+    child = forest.kids[forest.first[root] : forest.first[root + 1]]
     assert len(set(forest.edge[child])) == len(child) and all(dist(c, root) == forest.edge[c] for c in child)
 
 
-def test_simhash_recall(spark):
-    """At least 0.9 of the pairs within the radius, of all pairs of documents; and no pair beyond it."""
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in d.collect()]
-    code, n = simhash.codes(pa.array([t for _, t in rows]))
-    bits = np.unpackbits(code.view(np.uint8), axis=1).astype(np.int32)
+@pytest.mark.parametrize("family", simhash.FAMILIES)
+def test_a_table_misses_every_near_difference(family):
+    masks = simhash.covering(family)
+    assert len(masks) == sum(2**k - 1 for k in family)
+    r = np.random.RandomState(8)
+    few = [r.choice(128, r.randint(0, simhash.RADIUS + 1), replace=False) for _ in range(4000)]
+    few += [(r.randint(128) + np.arange(simhash.RADIUS)) % 128 for _ in range(200)]
+    for bits in few:
+        x = np.zeros(2, np.uint64)
+        for b in bits:
+            x[b // 64] |= np.uint64(1) << np.uint64(b % 64)
+        assert ((masks & x) == 0).all(1).any()
+
+
+def majority_code(text):
+    """A code by its definition."""
+    hashes = {int(h) >> (64 - textops.TERM_BITS) for h in textops.hash_words(text)}
+    if not hashes:
+        return None
+    h = np.array(sorted(hashes), np.uint64)
+    two = np.stack([textops.mix(h), textops.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))], 1)
+    bits = np.unpackbits(two.view(np.uint8), axis=1)
+    return np.packbits(2 * bits.sum(0, dtype=int) > len(h))
+
+
+def brute_near(rows):
+    """What near_groups returns, from all pairs; rows of unique ids."""
+    by = defaultdict(list)
+    for i, t in rows:
+        c = majority_code(t or "")
+        by[None if c is None or i is None else c.tobytes()].append(i)
+    codes = [c for c in by if c is not None]
+    bits = np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), 16), axis=1).astype(np.float32)
     far = bits.sum(1)[:, None] + bits.sum(1)[None, :] - 2 * bits @ bits.T
-    near = (far <= simhash.RADIUS) & (n[:, None] >= simhash.MIN_TERMS) & (n[None, :] >= simhash.MIN_TERMS) & (far > 0)
-    want = {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(near, 1)))}
-    coded = spark.createDataFrame([(int(i), int(a), int(b), int(c)) for (i, _), (a, b), c in zip(rows, code.view(np.int64), n)], "rep bigint, hi bigint, lo bigint, terms int").where(f"terms >= {simhash.MIN_TERMS}")
-    links = {(r.a, r.b) for r in simhash.find_links(coded.select("hi", "lo", "rep"), len(rows), pairs=True).collect() if r.distance > 0}
-    assert links <= want and len(links) >= 0.9 * len(want) and want
-    stars = [(r.a, r.b) for r in simhash.find_links(coded.select("hi", "lo", "rep"), len(rows)).collect()]
-    every = [(r.a, r.b) for r in simhash.find_links(coded.select("hi", "lo", "rep"), len(rows), pairs=True).collect()]
-    roots = lambda edges: {r.node: r.root for r in simhash.components(spark.createDataFrame([(a, b, 0) for a, b in edges if a != b], simhash.LINKS)).df.collect()}
-    assert roots(stars) == roots(every) and len(stars) < len(every)
+    near = (far <= simhash.RADIUS) & ~np.eye(len(codes), dtype=bool)
+    root = [min(by[c]) for c in codes]
+    pairs = list(zip(*np.nonzero(near)))
+    for _ in range(len(codes)):
+        before = list(root)
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    out = {(i, i, 0, 1, False) for i in by.get(None, ())}
+    for k, c in enumerate(codes):
+        out |= {(i, root[k], int(near[k].sum()), len(by[c]), i != root[k]) for i in by[c]}
+    return out
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 40])
+@pytest.mark.parametrize("family", [0, 1])
+def test_near_groups_against_all_pairs(spark, monkeypatch, hot, family):
+    """Every link of every text, short ones too, with shards cut into blocks or whole."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "FAMILIES", simhash.FAMILIES[family:])
+    r = random.Random(9)
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    base = [f"word{r.randrange(10**6)}" for _ in range(120)]
+    more = [" ".join([w for w in base if r.random() > 0.03] + [f"x{r.randrange(10**6)}"]) for _ in range(150)]  # a group of near copies
+    more += ["a b c d e f g", "a b c d e f g h", "b a c d e f g", "a b", "b a", "a", "z", "", None, ". ,"]
+    for k in range(40):  # short texts, some near to others
+        short = [f"s{k}{c}" for c in "abcdefg"[: 3 + k % 5]]
+        more += [" ".join(short), " ".join([*short, "more"])]
+    rows += [(10**6 + k, t) for k, t in enumerate(more)]
+    got = [tuple(x) for x in simhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
+    want = brute_near(rows)
+    assert set(got) == want and len(got) == len(rows)
+    assert max(x[2] for x in got) > 100 and any(0 < x[2] for x in got if x[0] >= 10**6 + 150)
+
+
+def test_near_query(spark, rows):
+    assert {tuple(x) for x in queries.op5_simhash(spark, SF).collect()} == brute_near(rows)
 
 
 def test_components(spark):
@@ -279,7 +335,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    links = spark.createDataFrame([(a, b, 1) for a, b in edges], simhash.LINKS)
+    links = spark.createDataFrame(edges, "a bigint, b bigint")
     got = {x.node: x.root for x in simhash.components(links).df.collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
 
@@ -622,8 +678,7 @@ def test_pipeline_against_brute_force(spark, docs):
                 first[t] = min(i, first.get(t, i))
             assert sorted(after) == sorted((i, t) for t, i in first.items())
         elif name == "SimHash near-dedup":
-            keep = {r.doc_id: r.keep_id for r in simhash.near_groups(d).collect()}
-            assert sorted(i for i, _ in after) == sorted(i for i, _ in before if keep.get(i, i) == i)
+            assert sorted(i for i, _ in after) == sorted({x[1] for x in brute_near(before)})
         else:
             assert all(n == 1 for n in brute_repeats(after, suffix.MIN_WORDS)[1].values()) or len(after) <= len(before)
         d = spark.createDataFrame([r.asDict() for r in out.collect()], d.schema)
