@@ -7,6 +7,7 @@ together would have built. Only texts whose fingerprint has a count above one ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from .names import free
 
 #: Largest set of repeated fingerprints, in bytes as written, that is sent to every executor; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Fingerprints to a range, about: what one task merges.
+RANGE_ROWS = 2_000_000
 
 
 class CountingQuotientFilter:
@@ -37,7 +40,11 @@ class CountingQuotientFilter:
         values = fingerprints[order]
         weight = np.ones(len(values), np.int64) if counts is None else counts[order]
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-        unique, total = values[first], np.add.reduceat(weight, first) if len(first) else weight
+        return cls._of(values[first], np.add.reduceat(weight, first) if len(first) else weight, bits)
+
+    @classmethod
+    def _of(cls, unique: np.ndarray, total: np.ndarray, bits: int) -> CountingQuotientFilter:
+        """Of different fingerprints in ascending order, and their counts."""
         q = max(1, int(len(unique) * 4 // 3).bit_length())
         quotient = (unique >> np.uint64(bits - q)).astype(np.int64)
         n = np.arange(len(unique))
@@ -58,8 +65,15 @@ class CountingQuotientFilter:
         return quotient << np.uint64(self.bits - self.q) | self.remainder, self.counts
 
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Of all that both were built of. Both lists of items ascend: one's go to their places in the other's."""
         (a, n), (b, m) = self.items(), other.items()
-        return self.build(np.concatenate([a, b]), np.concatenate([n, m]), self.bits)
+        at = np.searchsorted(a, b)
+        both = np.zeros(len(b), bool)
+        if len(a):
+            both = (at < len(a)) & (a[np.minimum(at, len(a) - 1)] == b)
+        n = n.copy()
+        n[at[both]] += m[both]
+        return self._of(np.insert(a, at[~both], b[~both]), np.insert(n, at[~both], m[~both]), self.bits)
 
     def count(self, fingerprint: int) -> int:
         keys, counts = self.items()
@@ -114,9 +128,9 @@ def _repeated(group: pa.Table) -> pa.Table:
     return pa.table({"fp": pa.array(keys[counts > 1].view(np.int64), pa.int64())})
 
 
-def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
-    """fp of every fingerprint (the one bigint column) that occurs more than once."""
-    shards = max(1, int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
+    """fp of every fingerprint (the one bigint column, of about so many rows) that occurs more than once."""
+    shards = max(1, int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / RANGE_ROWS))
     filters = fingerprints.mapInArrow(lambda it: _filters(it, shards), "shard int, filter binary")
     return filters.groupBy("shard").applyInArrow(_repeated, "fp bigint")
 
@@ -124,7 +138,7 @@ def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
 def _marked(docs: DataFrame, text: str) -> tuple[DataFrame, Column, Column]:
     """docs with the fingerprint of its text and whether this occurs again; the two columns' names are not in docs."""
     fp, dup = free(docs, "fp", "dup")
-    known = table(repeated_fingerprints(docs.where(F.col(text).isNotNull()).select(F.xxhash64(text))), "repeated")
+    known = table(repeated_fingerprints(docs.where(F.col(text).isNotNull()).select(F.xxhash64(text)), docs.count()), "repeated")
     right = known.df.select(F.col("fp").alias(dup))
     right = F.broadcast(right) if known.bytes <= BROADCAST_BYTES else right
     marked = docs.withColumn(fp, F.when(F.col(text).isNotNull(), F.xxhash64(text)))
