@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one of our own only where the setting is absent, as in tests."""
+    """The cluster's checkpoint folder; a temporary one of our own only where the setting is absent and all is one machine, as in tests.
+    On a cluster without the setting nothing can be written that every executor would find: that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fathom-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
