@@ -37,6 +37,10 @@ BUCKET_BYTES = 16 << 20
 RANGE_SYMBOLS = 800_000
 #: Sampled triples for each range, from which the ranges' bounds are taken.
 OVERSAMPLE = 24
+#: The most ranges, and the most triples sampled: what the driver gathers and sends does not grow beyond. In a text of more than
+#: RANGES * RANGE_SYMBOLS symbols ranges are larger.
+RANGES = 1 << 17
+SAMPLES = 1 << 20
 LOCAL = np.uint64(40)  # bits of an item's number within its range
 PLACE = np.uint64(30)  # bits of a position within its bucket
 FLUSH = 1_000_000
@@ -150,8 +154,8 @@ def _repeated(group: pa.Table, buckets: int) -> pa.Table:
 
 
 BLOB = "data binary"
-#: A bucket of S: its symbols and their number; of each of its runs where it begins, the text's key, the least id and the first
-#: word; of each text that several ids have: key, least id and number of words.
+#: A bucket of S: its symbols and their number; of each of its runs where it begins, the text's two keys, the least id and the first
+#: word; of each text that several ids have: keys, least id and number of words. Together the keys are 128 bits.
 HOME = "bucket bigint, n bigint, syms binary, runs binary, full binary"
 NO_ID = np.int64((1 << 63) - 1)
 
@@ -162,15 +166,15 @@ def _bucket(key: tuple, texts: pa.Table, grams: pa.Table, size: int) -> pa.Table
         return pa.table({})
     bucket = key[0].as_py()
     known = np.unique(np.concatenate([unpack(x)[0] for x in _blobs(grams.column("data"))])) if grams.num_rows else _EMPTY
-    keys, least, copied = (texts.column(c).to_numpy() for c in ("key", "least", "copied"))
-    keys, least = keys.view(np.uint64), least.view(np.uint64)
+    keys, keys2, least, copied = (texts.column(c).to_numpy() for c in ("key", "key2", "least", "copied"))
+    keys, keys2, least = keys.view(np.uint64), keys2.view(np.uint64), least.view(np.uint64)
     syms, run_at, run_text, run_word, full, where, base = [], [], [], [], [], 0, 0
     gap = np.zeros(3, np.uint64)
     for b in slices(iter(texts.select(["text"]).to_batches())):
         words = Words(b.column("text"), "ascii")
         count = np.diff(words.first)
         twice = base + np.flatnonzero(copied[base : base + b.num_rows] & (count >= size))
-        full.append([keys[twice], least[twice], count[twice - base].astype(np.uint64)])
+        full.append([keys[twice], keys2[twice], least[twice], count[twice - base].astype(np.uint64)])
         m, _ = minima(words, size)
         start = np.flatnonzero((m > 0) & np.isin(m, known)) if len(m) and len(known) else np.zeros(0, np.int64)
         if len(start):
@@ -185,9 +189,10 @@ def _bucket(key: tuple, texts: pa.Table, grams: pa.Table, size: int) -> pa.Table
                 where += z - a + 3
         base += b.num_rows
     s = np.concatenate([*syms, gap]) if syms else _EMPTY
-    assert len(s) < 1 << int(PLACE)
+    if len(s) >= 1 << int(PLACE):  # a bucket is BUCKET_BYTES and at most one text of up to 2 GB more, which has fewer words
+        raise OverflowError(f"bucket {bucket} has {len(s)} words")
     text = np.array(run_text, np.int64)
-    runs = pack([np.array(run_at, np.uint64), keys[text], least[text], np.array(run_word, np.uint64)])
+    runs = pack([np.array(run_at, np.uint64), keys[text], keys2[text], least[text], np.array(run_word, np.uint64)])
     return pa.table({"bucket": [bucket], "n": [len(s)], "syms": pa.array([pack([s])], pa.binary()), "runs": pa.array([runs], pa.binary()), "full": pa.array([pack(_concat(full))], pa.binary())})
 
 
@@ -206,7 +211,7 @@ class Ranges:
     """Bounds between ranges of triples."""
 
     def __init__(self, home: DataFrame, parts: int):
-        got = [unpack(bytes(r[0])) for r in home.select("sample").toLocalIterator()] if parts > 1 else []
+        got = [unpack(x) for x in _blobs(home.select("sample").toArrow().column("sample"))] if parts > 1 else []
         t = _concat(got) if got else [_EMPTY] * 3
         o = _order(*t)
         pick = o[np.arange(1, parts) * len(o) // parts] if len(o) else o
@@ -379,7 +384,7 @@ def _up(key: tuple, home: pa.Table, ranks: pa.Table, level: int, ranges: Ranges,
     cols.append(_positions(bucket, at))
     if level == 0:
         words = unpack(row["syms"])[0]
-        run_at, _, least, _ = unpack(row["runs"])
+        run_at, _, _, least, _ = unpack(row["runs"])
         h = np.zeros(len(at), np.uint64)
         full = np.arange(len(words) - size + 1)
         gap = np.concatenate([[0], np.cumsum(words == 0)])
@@ -425,14 +430,14 @@ def _covered(start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return start[new], np.append(start[:-1][new[1:]], start[-1]) + size
 
 
-SPANS = "key bigint, first_word int, end_word int, cut boolean"
+SPANS = "key bigint, key2 bigint, first_word int, end_word int, cut boolean"
 
 
 def _spans(key: tuple, home: pa.Table, marks: pa.Table, size: int) -> pa.Table:
     """By text: spans of words covered by repeats (cut false), and of those that aren't the first of their like (cut true)."""
     out: list[list[np.ndarray]] = []
     if home.num_rows and marks.num_rows:
-        run_at, text, _, word = unpack(home.column("runs")[0].as_py())
+        run_at, text, text2, _, word = unpack(home.column("runs")[0].as_py())
         place, mark = _concat([unpack(x) for x in _blobs(marks.column("data"))])
         o = np.argsort(place)
         place, mark = place[o], mark[o]
@@ -440,15 +445,23 @@ def _spans(key: tuple, home: pa.Table, marks: pa.Table, size: int) -> pa.Table:
             a, z = _covered(place[mark == 2].astype(np.int64) if cut else place.astype(np.int64), size)
             run = np.searchsorted(run_at, a.astype(np.uint64), "right") - 1
             shift = word[run].astype(np.int64) - run_at[run].astype(np.int64)
-            out.append([text[run].view(np.int64), a + shift, z + shift, np.full(len(a), cut)])
-    k, a, z, cut = _concat(out) if out else [np.zeros(0, np.int64)] * 4
-    return pa.table({"key": pa.array(k, pa.int64()), "first_word": pa.array(a.astype(np.int32)), "end_word": pa.array(z.astype(np.int32)), "cut": pa.array(cut.astype(bool))})
+            out.append([text[run].view(np.int64), text2[run].view(np.int64), a + shift, z + shift, np.full(len(a), cut)])
+    k, k2, a, z, cut = _concat(out) if out else [np.zeros(0, np.int64)] * 5
+    return pa.table({"key": pa.array(k, pa.int64()), "key2": pa.array(k2, pa.int64()), "first_word": pa.array(a.astype(np.int32)), "end_word": pa.array(z.astype(np.int32)), "cut": pa.array(cut.astype(bool))})
 
 
 def _fulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        k, least, n = unpack(row["full"])
-        yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "least": pa.array(least.view(np.int64)), "words": pa.array(n.astype(np.int32))})
+        k, k2, least, n = unpack(row["full"])
+        yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "key2": pa.array(k2.view(np.int64)), "least": pa.array(least.view(np.int64)), "words": pa.array(n.astype(np.int32))})
+
+
+KEYS = ["key", "key2"]
+
+
+def _keys(text: str) -> tuple:
+    """Two hashes of a text; texts that differ in neither are taken for the same."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), F.col(text))
 
 
 def _totals(df: DataFrame, text: str) -> int:
@@ -468,18 +481,18 @@ class Repeats:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int):
         shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(shuffle, math.ceil(_totals(docs, text_col) / BUCKET_BYTES))
-        d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+        d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumns(dict(zip(("key", "key2"), _keys("text"))))
         grams = d.select("key", "text").mapInArrow(lambda it: _grams(it, size, buckets), f"part bigint, {BLOB}")
         known = grams.groupBy("part").applyInArrow(lambda t: _repeated(t, buckets), f"bucket bigint, {BLOB}")
         copied = (F.min("id") != F.max("id")) | ((F.count("id") > 0) & (F.count("id") < F.count("*")))
-        texts = d.withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets))).repartition("bucket").groupBy("bucket", "key").agg(F.first("text").alias("text"), F.coalesce(F.min("id"), F.lit(int(NO_ID))).alias("least"), F.coalesce(copied, F.lit(False)).alias("copied"))
+        texts = d.withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets))).repartition("bucket").groupBy("bucket", "key", "key2").agg(F.first("text").alias("text"), F.coalesce(F.min("id"), F.lit(int(NO_ID))).alias("least"), F.coalesce(copied, F.lit(False)).alias("copied"))
         homes = [table(_cogroup(texts, known, lambda k, t, g: _bucket(k, t, g, size), HOME), "home0")]
         n = homes[0].df.agg(F.sum("n")).first()[0] or 0
-        rate = OVERSAMPLE / RANGE_SYMBOLS
+        rate = min(OVERSAMPLE / RANGE_SYMBOLS, SAMPLES / max(1, n))
         levels, ranges = _levels(size), []
         for level in range(levels):
             sample = homes[0].df.select("bucket", "syms").mapInArrow(lambda it: _samples(it, rate), "sample binary") if level == 0 else homes[level].df
-            r = Ranges(sample, max(1, math.ceil(n * (2 / 3) ** level / RANGE_SYMBOLS)))
+            r = Ranges(sample, min(RANGES, max(1, math.ceil(n * (2 / 3) ** level / RANGE_SYMBOLS))))
             ranges.append(r)
             named = homes[level].df.select("bucket", "syms").mapInArrow(lambda it, level=level, r=r: _triples(it, level, r), f"part bigint, {BLOB}").groupBy("part").applyInArrow(_name, f"bucket bigint, {BLOB}")
             homes.append(table(named.groupBy("bucket").applyInArrow(lambda k, t: _next(k, t, rate), "bucket bigint, syms binary, sample binary"), f"home{level + 1}"))
@@ -495,7 +508,7 @@ class Repeats:
                 homes.pop().drop()
         home = homes[0].df
         self.spans = table(_cogroup(home.select("bucket", "runs"), ranks.df, lambda k, h, m: _spans(k, h, m, size), SPANS), "spans").df
-        self.full = table(home.select("full").mapInArrow(_fulls, "key bigint, least bigint, words int"), "full").df
+        self.full = table(home.select("full").mapInArrow(_fulls, "key bigint, key2 bigint, least bigint, words int"), "full").df
         ranks.drop()
         homes[0].drop()
 
@@ -522,12 +535,12 @@ def _cogroup(left: DataFrame, right: DataFrame, f, schema: str, by: str = "bucke
 def _found(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """find_repeats, with the key of the text."""
     r = Repeats(docs, id_col, text_col, size)
-    one = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("key")).distinct()
-    d = one.join(r.full, "key", "left")
+    one = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), *[k.alias(n) for k, n in zip(_keys(text_col), KEYS)]).distinct()
+    d = one.join(r.full, KEYS, "left")
     many, other = F.col("least").isNotNull(), F.coalesce(F.col("doc_id"), F.lit(int(NO_ID))) != F.col("least")
     flags = F.when(other, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    whole = d.where(many).select("doc_id", "key", F.lit(0).alias("first_word"), F.col("words").alias("end_word"), F.explode(flags).alias("cut"))
-    part = d.join(r.spans, "key").where(~many | (F.col("cut") & ~other)).select("doc_id", "key", "first_word", "end_word", "cut")
+    whole = d.where(many).select("doc_id", *KEYS, F.lit(0).alias("first_word"), F.col("words").alias("end_word"), F.explode(flags).alias("cut"))
+    part = d.join(r.spans, KEYS).where(~many | (F.col("cut") & ~other)).select("doc_id", *KEYS, "first_word", "end_word", "cut")
     return whole.unionByName(part)
 
 
@@ -541,7 +554,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     within a text. A text that several ids have is a repeat as a whole, if it has min_words words, and all of it is cut but
     in the row of the smallest id. Repeated rows, equal in id and text, count as one document. Null, empty and shorter texts
     have no span. Other columns are not read, no rows give no rows."""
-    return _found(docs, id_col, text_col, min_words).drop("key")
+    return _found(docs, id_col, text_col, min_words).drop(*KEYS)
 
 
 def _cut(texts: pa.Array, spans_of: list) -> tuple[list, np.ndarray]:
@@ -569,10 +582,10 @@ def _cut(texts: pa.Array, spans_of: list) -> tuple[list, np.ndarray]:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, chars_col: str | None = "n_chars") -> DataFrame:
     """docs with the spans that find_repeats calls cut taken out of the texts, up to the word after them; chars_col, if docs has
     it, is the new length of a text that was cut. A row of which no word is left goes. All other rows and columns stay."""
-    spans_name, id_name, key_name = free(docs, "spans", "span_id", "span_key")
+    spans_name, id_name, key_name, key2_name = free(docs, "spans", "span_id", "span_key", "span_key2")
     found = _found(docs, id_col, text_col, min_words).where("cut")
-    cuts = found.groupBy(F.col("doc_id").alias(id_name), F.col("key").alias(key_name)).agg(F.collect_list(F.struct("first_word", "end_word")).alias(spans_name))
-    joined = docs.join(cuts, (F.xxhash64(text_col) == F.col(key_name)) & F.col(id_col).cast("bigint").eqNullSafe(F.col(id_name)), "left")
+    cuts = found.groupBy(F.col("doc_id").alias(id_name), F.col("key").alias(key_name), F.col("key2").alias(key2_name)).agg(F.collect_list(F.struct("first_word", "end_word")).alias(spans_name))
+    joined = docs.join(cuts, (_keys(text_col)[0] == F.col(key_name)) & (_keys(text_col)[1] == F.col(key2_name)) & F.col(id_col).cast("bigint").eqNullSafe(F.col(id_name)), "left")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
