@@ -3,23 +3,24 @@
 Lines, paragraphs (runs of lines between blank ones), whole texts, and every window of as many words as the template has are
 compared with each template; windows find a licence of several paragraphs, or a notice in a sentence, within other text. A
 unit of n distinct bigrams can reach the threshold t against a template of m only if t / (2 - t) <= n / m <= (2 - t) / t, and
-only if it shares a bigram with it; a window only if at least m * t / (2 - t) of its bigrams are the template's. Units,
-windows and templates that fail these are never scored, which changes no result.
+a unit or window only if at least m * t / (2 - t) of its bigrams are the template's. Units, windows and templates that fail
+these are never scored, which changes no result. The different bigrams of all windows of one length are counted in one pass:
+a bigram is new in the windows that begin after the place where it was last, so that each adds to a range of windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .textops import BYTE, WORD, Words, buffers, mix, slices
 
 THRESHOLD = 0.8
-#: Bigrams of windows that are scored at once.
-BLOCK = 1 << 20
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -54,10 +55,58 @@ _GPL = """This program is free software: you can redistribute it and/or modify i
 License as published by the Free Software Foundation, either version {0} of the License, or (at your option) any later
 version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
 warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+_LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version {0} of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""
+_AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which
+is available at https://www.eclipse.org/legal/epl-2.0/"""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate
+any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source
+versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be
+removed or altered from any source distribution."""
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit
+the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license
+grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and
+all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object
+code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN
+NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_WTFPL = """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is
+allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING,
+DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."""
 _CC = "This work is licensed under a Creative Commons {0} {1} International License."
 
-#: (template, licence, text). Texts of MIT, BSD and ISC, notices that licences ask for, and one-line notices in common use; the
-#: README lists the licences.
+
+
+def _file(name: str) -> str:
+    return (Path(__file__).parent / "licence_texts" / name).read_text(encoding="utf-8")
+
+
+#: (template, licence, text). Texts of licences, notices that they ask for, and one-line notices in common use; the README lists
+#: the licences.
 TEMPLATES: list[tuple[str, str, str]] = [
     ("mit-text", "MIT", _MIT),
     ("mit-notice", "MIT", "Released under the MIT License."),
@@ -79,6 +128,22 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("cc-by-sa-line", "CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("cc-by-nc-line", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc0-line", "CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    ("apache-2-text", "Apache-2.0", _file("Apache-2.0")),
+    ("gpl-2-text", "GPL-2.0", _file("GPL-2")),
+    ("gpl-3-text", "GPL-3.0", _file("GPL-3")),
+    ("lgpl-2.1-text", "LGPL-2.1", _file("LGPL-2.1")),
+    ("lgpl-3-text", "LGPL-3.0", _file("LGPL-3")),
+    ("mpl-2-text", "MPL-2.0", _file("MPL-2.0")),
+    ("cc0-text", "CC0-1.0", _file("CC0-1.0")),
+    ("lgpl-2.1-notice", "LGPL-2.1", _LGPL.format("2.1")),
+    ("lgpl-3-notice", "LGPL-3.0", _LGPL.format("3")),
+    ("agpl-3-notice", "AGPL-3.0", _AGPL),
+    ("mpl-2-notice", "MPL-2.0", _MPL),
+    ("epl-2-notice", "EPL-2.0", _EPL),
+    ("unlicense-text", "Unlicense", _UNLICENSE),
+    ("zlib-text", "Zlib", _ZLIB),
+    ("bsl-text", "BSL-1.0", _BSL),
+    ("wtfpl-text", "WTFPL", _WTFPL),
 ]
 _BIT = np.uint64(64 - 20)
 
@@ -99,6 +164,8 @@ class Templates:
         self.words = np.array([len(w) for w in words], np.int64)
         sets = [np.unique(bigrams(w)[0]) for w in words]
         self.size = np.array([len(s) for s in sets], np.int64)
+        #: bigrams of a template that a unit or window must have
+        self.least = np.maximum(1, np.ceil(self.size * threshold / (2 - threshold) - 1e-9)).astype(np.int64)
         pairs = sorted((int(h), k) for k, s in enumerate(sets) for h in s)
         self.hash = np.array([h for h, _ in pairs], np.uint64)
         self.template = np.array([k for _, k in pairs], np.int64)
@@ -108,12 +175,13 @@ class Templates:
     def match(self, unit: np.ndarray, hashes: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, template, dice) of every pair that reaches the threshold. (unit, hashes): the units' bigrams, unit ascending."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        hit = self.bitmap[hashes >> _BIT]
-        left = np.searchsorted(self.hash, hashes[hit])
-        left[left == len(self.hash)] = 0
-        hit[hit] = self.hash[left] == hashes[hit]
+        hit = np.flatnonzero(self.bitmap[hashes >> _BIT])
+        lo, hi = np.searchsorted(self.hash, hashes[hit], "left"), np.searchsorted(self.hash, hashes[hit], "right")
+        n = hi - lo
+        k = self.template[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        pair, count = np.unique(np.repeat(unit[hit], n) * len(self.size) + k, return_counts=True)
         chosen = np.zeros(units, bool)
-        chosen[unit[hit]] = True
+        chosen[(pair // len(self.size))[count >= self.least[pair % len(self.size)]]] = True
         if not chosen.any():
             return none
         use = chosen[unit]
@@ -143,31 +211,34 @@ class Templates:
         template = self.template[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
         order = np.argsort(template, kind="stable")
         at, bounds = np.repeat(at, n)[order], np.searchsorted(template[order], np.arange(len(self.size) + 1))
-        t = self.threshold
+        total = len(hashes)
+        last_at: np.ndarray | None = None
         for k, m in enumerate(self.size.tolist()):
-            hits, span = at[bounds[k] : bounds[k + 1]], int(self.words[k]) - 1
-            least = max(1, int(np.ceil(m * t / (2 - t) - 1e-9)))
+            hits, span, least = at[bounds[k] : bounds[k + 1]], int(self.words[k]) - 1, int(self.least[k])
             if not m or len(hits) < least:
                 continue
             first, last = np.maximum(hits[least - 1 :] - span + 1, 0), hits[: len(hits) - least + 1]
             first[1:] = np.maximum(first[1:], last[:-1] + 1)
             n = np.maximum(last - first + 1, 0)
             starts = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            starts = starts[starts + span <= len(hashes)]
+            starts = starts[starts + span <= total]
             starts = starts[doc[starts] == doc[starts + span - 1]]
             if not len(starts):
                 continue
-            keys = hashes & ~np.uint64(1)  # the lowest bit says whether the template has the bigram
-            keys[hits] |= np.uint64(1)
-            views = np.lib.stride_tricks.sliding_window_view(keys, span)
-            step = max(1, BLOCK // span)
-            for some in (starts[i : i + step] for i in range(0, len(starts), step)):
-                w = np.sort(views[some], axis=1)
-                new = np.ones(w.shape, bool)
-                new[:, 1:] = w[:, 1:] != w[:, :-1]
-                dice = 2 * (new & ((w & np.uint64(1)) > 0)).sum(1) / (new.sum(1) + m)
-                good = dice >= t
-                yield doc[some[good]], k, dice[good]
+            if last_at is None:  # where each bigram was before
+                order = np.argsort(hashes, kind="stable")
+                same = hashes[order[1:]] == hashes[order[:-1]]
+                last_at = np.full(total, -1)
+                last_at[order[1:][same]] = order[:-1][same]
+
+            def different(places: np.ndarray) -> np.ndarray:
+                """By where a window begins, how many of its bigrams at these places are not again before in it."""
+                step = np.bincount(np.maximum(last_at[places] + 1, places - span + 1).clip(0), minlength=total + 1)
+                return np.cumsum(step - np.bincount(places + 1, minlength=total + 1))
+
+            dice = 2 * different(hits)[starts] / (different(np.arange(total))[starts] + m)
+            good = dice >= self.threshold
+            yield doc[starts[good]], k, dice[good]
 
 
 def _blank_lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +293,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, t
     empty text, or one of a single word, matches nothing. Ties between templates are all returned. Repeated rows are scanned
     each for itself, a null id stays null, other columns are not read, no rows give no rows."""
     t = Templates(TEMPLATES if templates is None else templates, threshold)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, t), "doc_id bigint, template string, licence string, dice double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _scan(it, t), "doc_id bigint, template string, licence string, dice double")
 
 
 def oracle_sql(templates: list[tuple[str, str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
