@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the columns of
 documents; the last returns the packed pieces.
+
+A row with a null text, or a null id and no copy, is kept by every stage that filters, and has nothing to pack; so has an empty
+text. Repeated rows are copies: one stays. No documents give no rows. Further columns of documents are carried to the last stage.
 """
 
 from __future__ import annotations
