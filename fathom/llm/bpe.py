@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import slices
+from .textops import slices, trim
 
 #: Ranks of a public vocabulary: lines of base64 bytes and rank. A parameter everywhere below.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -138,6 +138,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
         flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(n.sum()))
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(null))
         yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "tokens": pa.array(n, pa.int32(), mask=null), "round_trip": pa.array(whole, pa.bool_()), "ids": ids})
+    del t
+    trim()
 
 
 def _counted(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -145,6 +147,8 @@ def _counted(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
     for b in slices(batches):
         n = t.count_all([x or "" for x in b.column("text").to_pylist()])
         yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "h": b.column("h")})
+    del t
+    trim()
 
 
 def sizes(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .durable import Table, table
 from .names import free
-from .textops import Words, mix, slices, unique_terms
+from .textops import Words, mix, slices, trim, unique_terms
 
 BITS = 128
 RADIUS = 20
@@ -293,6 +293,8 @@ def _found(group: pa.Table, masks: np.ndarray) -> pa.Table:
         labels = join_labels(labels, node[q], node[k])
         one = _first(code[q] ^ code[k], t[q], masks)
         links += np.bincount(node[q[one]], minlength=len(ids)) + np.bincount(node[k[one]], minlength=len(ids))
+    del forest, code, key, block, order, t, hi, lo, rep, pair
+    trim()
     other, some = np.flatnonzero(labels != np.arange(len(ids))), np.flatnonzero(links)
     a = np.concatenate([ids[labels[other]], ids[some]])
     b = pa.array(np.concatenate([ids[other], ids[some]]), mask=np.arange(len(a)) >= len(other))

@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from .durable import table
 from .names import free
-from .textops import Words, buffers, mix, prefix, slices, spans
+from .textops import Words, buffers, mix, prefix, slices, spans, trim
 
 MIN_WORDS = 50
 #: Bytes of text to a bucket, about, and symbols to a range of the sort.
@@ -287,6 +287,7 @@ def _empty(name: str) -> pa.Table:
 
 def _home(pos: np.ndarray, rank: np.ndarray) -> pa.Table:
     """(place, rank) sent back to the positions' buckets."""
+    trim()
     out = list(_send((pos >> PLACE).astype(np.int64), [pos & np.uint64((1 << int(PLACE)) - 1), rank], "bucket"))
     return pa.Table.from_batches(out) if out else _empty("bucket")
 

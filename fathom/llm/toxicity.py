@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .names import free
-from .textops import Words, slices, unique_terms
+from .textops import Words, slices, trim, unique_terms
 
 #: At most so many labelled documents are fitted to; which, is decided by a hash of their id.
 TRAIN_ROWS = 20_000
@@ -30,14 +30,15 @@ RATE = 0.5  # AdaGrad's, of the linear weights
 #: A term takes part if its share of toxic documents is so many standard errors from the rate of all.
 TERM_Z = 3.5
 MIN_DOCS = 3
-#: Or if texts that hold it and a term of HEAD_Z at least are PAIR_Z beyond the rates of either, and so is that one then: there are
-#: far more pairs than terms, so chance must be ruled out more firmly; in PAIR_DOCS texts at least, PAIR_MORE of them beyond.
+#: Or if texts that hold it and a head (a term of HEAD_Z at least, and HEAD_LIFT times as toxic as all) are PAIR_Z beyond the rates of either, and so is that one then: there are
+#: far more pairs than terms, so chance must be ruled out more firmly; in PAIR_DOCS texts at least, PAIR_MORE toxic ones of them beyond.
 HEAD_Z = 2.0
+HEAD_LIFT = 1.5
 PAIR_Z = 8.0
 PAIR_DOCS = 6
 PAIR_MORE = 4
 #: Cells of a table of pairs that are counted at once.
-PAIR_CELLS = 1 << 22
+PAIR_CELLS = 1 << 21
 BITMAP_BITS = 20
 
 
@@ -59,12 +60,8 @@ class FactorizationMachine:
         return out
 
 
-def _beyond(more: np.ndarray, n: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    return (more >= PAIR_MORE) & (more >= PAIR_Z * np.sqrt(n * rate * (1 - rate)))
-
-
 def partners(row: np.ndarray, at: np.ndarray, toxic: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Which terms tell of toxicity in a pair with a head (a mask of terms), more than either does alone, and these heads. (row, at): by row."""
+    """Which terms tell of toxicity in a pair with a head (a mask of terms), more toxic than the texts of either, and these heads. (row, at): by row."""
     n_terms = len(heads)
     out = np.zeros(n_terms, bool)
     first = np.searchsorted(row, np.arange(len(toxic) + 1))
@@ -91,8 +88,9 @@ def partners(row: np.ndarray, at: np.ndarray, toxic: np.ndarray, heads: np.ndarr
         for j, head in enumerate(some):
             often = np.flatnonzero(n[j] >= PAIR_DOCS)
             both, toxic_both = n[j, often], hit[j, often]
-            high, low = np.maximum(rate[often], rate[head]), np.minimum(rate[often], rate[head])
-            told = often[_beyond(toxic_both - both * high, both, high) | _beyond(both * low - toxic_both, both, low)]
+            high = np.maximum(rate[often], rate[head])
+            more = toxic_both - both * high
+            told = often[(more >= PAIR_MORE) & (more >= PAIR_Z * np.sqrt(both * high * (1 - high)))]
             out[told] = True
             out[head] |= len(told) > 0
         place[some] = -1
@@ -105,16 +103,24 @@ def fit(row: np.ndarray, term: np.ndarray, toxic: np.ndarray, seed: int = 7) ->
     none = FactorizationMachine(np.zeros(0, np.uint64), -10.0, np.zeros(0), np.zeros((0, FACTORS)), 0.0)
     if not rows or toxic.all() or not toxic.any():
         return none
-    terms, at = np.unique(term, return_inverse=True)
+    terms = np.sort(term)
+    new = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1], [True]]))
+    terms = terms[new[:-1][np.diff(new) >= MIN_DOCS]]  # of the others none can take part
+    if not len(terms):
+        return none
+    at = np.minimum(np.searchsorted(terms, term), len(terms) - 1).astype(np.int32)
+    known = terms[at] == term
+    row, at = row[known], at[known]
+    if (row[1:] < row[:-1]).any():
+        order = np.argsort(row, kind="stable")
+        row, at = row[order], at[order]
     n, hit = np.bincount(at), np.bincount(at, toxic[row])
     rate = toxic.mean()
     z = (hit - n * rate) / np.sqrt(n * rate * (1 - rate))
-    keep = (n >= MIN_DOCS) & (np.abs(z) >= TERM_Z)
-    order = np.argsort(row, kind="stable")
-    row, at = row[order], at[order]
-    often = n >= PAIR_DOCS
+    keep = np.abs(z) >= TERM_Z
+    often = (n >= PAIR_DOCS) & (hit >= PAIR_MORE)  # others are in no pair that tells
     use = often[at]
-    keep[np.flatnonzero(often)[partners(row[use], (np.cumsum(often) - 1)[at[use]], toxic, (z >= HEAD_Z)[often])]] = True
+    keep[np.flatnonzero(often)[partners(row[use], (np.cumsum(often) - 1)[at[use]], toxic, ((z >= HEAD_Z) & (hit >= HEAD_LIFT * rate * n))[often])]] = True
     if not keep.any():
         return none
     place = np.cumsum(keep) - 1
@@ -184,7 +190,9 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = pa.Table.from_batches(held).sort_by("doc_id")
     terms = group.column("terms").combine_chunks()
     flat, size = terms.flatten().to_numpy().view(np.uint64), np.diff(terms.offsets.to_numpy())
-    m = fit(np.repeat(np.arange(len(size)), size), flat, group.column("toxic").to_numpy(zero_copy_only=False).astype(bool))
+    m = fit(np.repeat(np.arange(len(size), dtype=np.int32), size), flat, group.column("toxic").to_numpy(zero_copy_only=False).astype(bool))
+    del held, group, terms, flat
+    trim()
     many = lambda x, t: pa.array([x.tolist()], pa.list_(t))
     yield pa.RecordBatch.from_pydict({"terms": many(m.terms.view(np.int64), pa.int64()), "w0": [m.w0], "w": many(m.w, pa.float64()), "v": many(m.v.ravel(), pa.float64()), "threshold": [m.threshold]})
 
