@@ -34,23 +34,23 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with the fields of the document of the same id."""
+    """All vectors, with the fields of the document of the same id; one without a document has an empty text and no book."""
     e = read(spark, sf_dir, "embeddings")
     d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     v = F.col("vec_id")
-    return e.join(d, v == F.col("doc_id")).select(
+    return e.join(d, v == F.col("doc_id"), "left").select(
         (v + 1).alias("line_id"),
         F.lpad(v.cast("string"), 10, "0").alias("semantic_id"),
         F.concat_ws("/", "lang", "source").alias("source_book_key"),
         F.col("label").cast("bigint").alias("section_id"),
-        line_hash(F.col("text")).alias("line_hash"),
+        line_hash(F.coalesce("text", F.lit(""))).alias("line_hash"),
         F.lit(0).cast("bigint").alias("segment"),
         F.concat(F.lit("doc "), v).alias("title"),
         F.concat(F.lit("ref "), v).alias("reference"),
         (v % 7 == 0).alias("is_pdf"),
         F.array(F.concat(F.lit("/label/l"), "label"), F.concat(F.lit("/era/e"), v % 4)).alias("facets"),
         F.col("embedding").alias("vector"),
-        "text",
+        F.coalesce("text", F.lit("")).alias("text"),
     )
 
 

@@ -22,20 +22,21 @@ def nearest_rank(n: Column, percent: float) -> Column:
 
 
 def latency_summary(latencies: DataFrame) -> DataFrame:
-    """Nearest-rank percentiles and totals for each benchmark, of (benchmark, latency_us). Values are ranked by a window, which spills,
-    rather than gathered in one row."""
+    """Nearest-rank percentiles and totals for each benchmark, of (benchmark, latency_us). Equal latencies are counted first, with
+    partial sums before the shuffle, so that the window of a benchmark ranks its different latencies only; a null isn't counted."""
+    counted = latencies.where(F.col("latency_us").isNotNull()).groupBy("benchmark", "latency_us").agg(F.count("*").alias("_c"))
     by = Window.partitionBy("benchmark")
-    ranked = latencies.withColumn("_i", F.row_number().over(by.orderBy("latency_us")) - 1).withColumn("_n", F.count("*").over(by))
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col("latency_us")))
-    n = F.col("_n")
-    total = F.sum("latency_us")
+    ranked = counted.withColumn("_to", F.sum("_c").over(by.orderBy("latency_us"))).withColumn("_n", F.sum("_c").over(by))
+    at = lambda i: F.max(F.when((i >= F.col("_to") - F.col("_c")) & (i < F.col("_to")), F.col("latency_us")))
+    n, many = F.col("_n"), F.sum("_c")
+    total = F.sum(F.col("latency_us") * F.col("_c"))
     return ranked.groupBy("benchmark").agg(
-        F.count("*").alias("iterations"),
+        many.alias("iterations"),
         *[at(nearest_rank(n, p)).alias(f"p{p}_us") for p in (50, 95, 99)],
         F.min("latency_us").alias("min_us"),
         F.max("latency_us").alias("max_us"),
-        F.floor(total / F.count("*")).alias("mean_us"),
+        F.floor(total / many).alias("mean_us"),
         at(F.floor(n / 2)).alias("upper_median_us"),
-        F.when(total > 0, F.count("*") * 1e6 / total).otherwise(0.0).alias("throughput_qps"),
+        F.when(total > 0, many * 1e6 / total).otherwise(0.0).alias("throughput_qps"),
         F.floor(total / 1000).alias("total_duration_ms"),
     )

@@ -1,8 +1,10 @@
-"""Exact cosine search. Vectors are unit vectors, so the cosine is the dot product.
+"""Exact cosine search. Vectors that can't be compared (null, of another dimension, with a null, NaN or infinite component, or without a
+direction) are never found, and a query of that kind finds nothing.
 
-One query is a literal array in the plan. Many queries are matched by blocks: vectors and queries are cut into blocks of rows,
-a task multiplies one block by another with numpy and keeps the best k of each query, and a window picks the best of these.
-Every block of queries meets every block of vectors once, which an exact search of everything cannot avoid.
+One query: every task multiplies its Arrow batches by the query with numpy in single precision, which is a matter of memory
+bandwidth, computes what could be among the best k again in double precision, and keeps k rows; these are sorted. Many queries: their
+matrix is sent to every task if its size allows, and multiplied beside the vectors, so that only k rows a query and task are
+shuffled; beyond that size blocks of queries meet blocks of vectors, each pair of which is a row of its own.
 """
 
 from __future__ import annotations
@@ -11,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import MIN_NORM, dot
+from ..functions.vectors import MIN_NORM
 from .filters import SearchFilters
 
 #: Vectors and queries to a block.
 BLOCK = 2048
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4096
+#: Largest matrix of queries, in bytes, that is sent to every task.
+BROADCAST_BYTES = 16 << 20
 #: Scores are compared as rounded to so many places, so that the order doesn't hang on the order of summation.
 PLACES = 9
 
@@ -30,52 +35,186 @@ def comparable(query: list[float]) -> bool:
     return bool(len(v) and np.isfinite(v).all() and MIN_NORM < np.linalg.norm(v) < np.inf)
 
 
+def pack_vectors(vectors: DataFrame) -> DataFrame:
+    """vectors with the column vector as the bytes of its float32 components. Searches take either kind; bytes go to Python as they are,
+    while an array is copied component by component."""
+    names = vectors.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [None if x is None or any(y is None for y in x) else np.asarray(x, "<f4").tobytes() for x in b.column("vector").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()) if c == "vector" else b.column(c) for c in names], names)
+
+    return vectors.mapInArrow(run, ", ".join(f"`{c}` {'binary' if c == 'vector' else t}" for c, t in vectors.dtypes))
+
+
+def _matrix(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows have dim components, none of them null, and their matrix); dim None is that of the first row that has any."""
+    width = 4 if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else 1
+    size = pc.fill_null(pc.binary_length(column) if width == 4 else pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    if dim is None:
+        dim = int(size[np.argmax(size > 0)]) // width if (size > 0).any() else 0
+    rows = np.flatnonzero((size == dim * width) & (size > 0))
+    if len(rows) < len(size):
+        column = column.take(pa.array(rows))
+    if not len(rows):
+        return rows, np.zeros((0, dim), np.float32)
+    if width == 4:
+        at = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+        return rows, np.frombuffer(column.buffers()[2], np.float32, len(rows) * dim, int(at)).reshape(-1, dim)
+    flat = column.flatten()
+    x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    if flat.null_count:
+        whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, dim).all(1)
+        rows, x = rows[whole], x[whole]
+    return rows, x
+
+
+def _cosines(x: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Of rows with a unit vector, rounded; -inf for rows that can't be compared."""
+    x = x.astype(float)
+    with np.errstate(invalid="ignore", over="ignore"):
+        n = np.linalg.norm(x, axis=1)
+        good = np.isfinite(n) & (n > MIN_NORM)
+        return np.where(good, np.round((x @ unit) / np.where(good, n, 1), PLACES), -np.inf)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], unit: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of a task, with their similarity."""
+    single, kept = unit.astype(np.float32), None
+    error = 4 * len(unit) * float(np.finfo(np.float32).eps)  # of a cosine in single precision, amply
+    for b in batches:
+        rows, x = _matrix(b.column("vector"), len(unit))
+        if not len(rows):
+            continue
+        with np.errstate(invalid="ignore", over="ignore"):
+            rough = (x @ single) / np.sqrt(np.einsum("ij,ij->i", x, x))
+        rough[~np.isfinite(rough)] = 2.0  # what single precision can't tell is computed anew
+        if len(rows) > k:
+            near = np.flatnonzero(rough >= np.partition(rough, len(rows) - k)[len(rows) - k] - 2 * error)
+            if (rough == 2.0).any():  # these may push out others
+                near = np.flatnonzero(rough >= np.partition(np.where(rough == 2.0, -2.0, rough), len(rows) - k)[len(rows) - k] - 2 * error)
+            rows, x = rows[near], x[near]
+        s = _cosines(x, unit)
+        rows, s = rows[s > -np.inf], s[s > -np.inf]
+        part = pa.Table.from_batches([b.take(pa.array(rows))]).append_column("similarity", pa.array(s))
+        kept = part if kept is None else pa.concat_tables([kept, part])
+        kept = kept.take(pc.sort_indices(kept, [("similarity", "descending"), ("semantic_id", "ascending")])[:k])
+    if kept is not None:
+        yield from kept.combine_chunks().to_batches()
+
+
 def search(vectors: DataFrame, query: list[float], k: int, filters: SearchFilters | None = None, dim: int | None = None) -> DataFrame:
-    """The k rows of vectors nearest to a query, with similarity; equal ones by semantic_id. A scan, a filter below the dot product
-    and a top-k that keeps k rows for each task."""
+    """The k rows of vectors nearest to a query, with similarity; equal ones by semantic_id. Filters come before the product."""
     if dim is not None and len(query) != dim:
         raise ValueError(f"a query of {len(query)} dimensions, vectors of {dim}")
     if k <= 0 or not comparable(query):
         return vectors.withColumn("similarity", F.lit(0.0)).limit(0)
     v = np.asarray(query, float)
-    unit = F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in v / np.linalg.norm(v)) + ")")  # one call, however many dimensions
-    rows = (filters or SearchFilters()).apply(vectors).withColumn("similarity", F.round(dot(F.col("vector"), unit), PLACES))
-    return rows.where(~F.isnan("similarity")).orderBy(F.desc("similarity"), "semantic_id").limit(k)
-
-
-def _cut(batches: Iterator[pa.RecordBatch], key: str, rows: int, prefix: str = "") -> Iterator[pa.RecordBatch]:
-    """Rows (key, vector) as blocks: keys and a matrix of float32."""
+    unit = v / np.linalg.norm(v)
+    rows = (filters or SearchFilters()).apply(vectors)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", similarity double"
+    return rows.mapInArrow(lambda it: _nearest(it, unit, k), schema).orderBy(F.desc("similarity"), "semantic_id").limit(k)
+
+
+def _units(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that can be compared, their unit vectors)."""
+    rows, x = _matrix(column, dim)
+    x = x.astype(float)
+    with np.errstate(invalid="ignore", over="ignore"):
+        n = np.linalg.norm(x, axis=1)
+    good = np.isfinite(n) & (n > MIN_NORM)
+    return rows[good], x[good] / n[good, None]
+
+
+class _Best:
+    """The k best (similarity, line) of each query so far; equal similarities by line."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, s: np.ndarray, line: np.ndarray) -> None:
+        """s: queries x lines."""
+        n = min(self.k, len(line))
+        kth = np.partition(s, len(line) - n, axis=1)[:, len(line) - n]
+        q, c = np.nonzero(s >= np.maximum(kth, self.least)[:, None])
+        self.held.append((q, s[q, c], line[c]))
+        self.size += len(q)
+        if self.size > 4_000_000:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, s, line = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        o = np.lexsort((line, -s, q))
+        q, s, line = q[o], s[o], line[o]
+        first = np.searchsorted(q, np.arange(len(self.least)))
+        place = np.arange(len(q)) - first[q]
+        self.least[q[place == self.k - 1]] = s[place == self.k - 1]
+        keep = place < self.k
+        self.held, self.size = [(q[keep], s[keep], line[keep])], int(keep.sum())
+        return self.held[0]
+
+
+def _beside(batches: Iterator[pa.RecordBatch], ids: np.ndarray, units: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The best k of a task for every query."""
+    if not len(ids):
+        return
+    best = _Best(len(ids), k)
+    for b in batches:
+        rows, x = _units(b.column("vector"), units.shape[1])
+        line = b.column("line_id").to_numpy(zero_copy_only=False)[rows]
+        step = max(1, min(BLOCK, (1 << 22) // len(ids)))  # 32 MB of scores at a time
+        for at in range(0, len(rows), step):
+            best.add(np.round(units @ x[at : at + step].T, PLACES), line[at : at + step])
+    q, s, line = best.cut()
+    if len(q):
+        yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[q], pa.int64()), "line_id": pa.array(line, pa.int64()), "similarity": pa.array(s)})
+
+
+def _cut(batches: Iterator[pa.RecordBatch], key: str, rows: int, dim: int, prefix: str = "") -> Iterator[pa.RecordBatch]:
+    """Rows (key, vector) as blocks: keys and a matrix of unit vectors."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            part = b.slice(at, rows)
-            values = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({f"{prefix}keys": pa.array([part.column(key).to_pylist()], pa.list_(pa.int64())), f"{prefix}data": pa.array([values.tobytes()], pa.binary())})
+        some, x = _units(b.column("vector"), dim)
+        keys = b.column(key).to_numpy(zero_copy_only=False)[some]
+        for at in range(0, len(some), rows):
+            yield pa.RecordBatch.from_pydict({f"{prefix}keys": pa.array([keys[at : at + rows]], pa.list_(pa.int64())), f"{prefix}data": pa.array([x[at : at + rows].tobytes()], pa.binary())})
 
 
 def _multiplied(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
-            q, v = (np.asarray(b.column(c)[i].as_py(), np.int64) for c in ("q_keys", "keys"))
-            x, y = (np.frombuffer(b.column(c)[i].as_py(), np.float32).reshape(len(n), -1).astype(float) for c, n in (("q_data", q), ("data", v)))
-            s = np.round(x @ y.T, PLACES)
-            s[np.isnan(s)] = -np.inf
-            n = min(k, len(v))
-            kth = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-            row, col = np.nonzero((s >= kth) & (s > -np.inf))  # ties at the last place go on; the window decides
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(q[row]), "line_id": pa.array(v[col]), "similarity": pa.array(s[row, col])})
+            ids, line = (np.asarray(b.column(c)[i].as_py(), np.int64) for c in ("q_keys", "keys"))
+            x, y = (np.frombuffer(b.column(c)[i].as_py()).reshape(len(n), -1) for c, n in (("q_data", ids), ("data", line)))
+            best = _Best(len(ids), k)
+            best.add(np.round(x @ y.T, PLACES), line)
+            q, s, found = best.cut()
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[q]), "line_id": pa.array(found), "similarity": pa.array(s)})
 
 
 def search_all(vectors: DataFrame, queries: DataFrame, k: int, filters: SearchFilters | None = None) -> DataFrame:
-    """query_id, line_id, similarity and rank of the k lines nearest to each row of queries (query_id, vector).
-
-    vectors: line_id and vector of one length, and what filters need. Equal similarities are ranked by line_id."""
-    rows = (filters or SearchFilters()).apply(vectors)
-    conf = vectors.sparkSession.conf
-    tasks = int(conf.get("spark.sql.shuffle.partitions"))
-    v = rows.select("line_id", "vector").mapInArrow(lambda it: _cut(it, "line_id", BLOCK), "keys array<bigint>, data binary")
-    q = queries.select("query_id", "vector").mapInArrow(lambda it: _cut(it, "query_id", QUERY_BLOCK, "q_"), "q_keys array<bigint>, q_data binary")
-    # every pair of blocks is a row of its own, dealt evenly: blocks are few and large
-    pairs = q.crossJoin(v).repartition(tasks)
-    best = pairs.mapInArrow(lambda it: _multiplied(it, k), "query_id bigint, line_id bigint, similarity double")
+    """query_id, line_id, similarity (the cosine) and rank of the k lines nearest to each row of queries (query_id, vector).
+
+    vectors: line_id and vector, and what filters need. The dimension is the one most queries have; the lesser of two that are
+    equally frequent. Equal similarities are ranked by line_id."""
+    rows = (filters or SearchFilters()).apply(vectors).select("line_id", "vector")
+    q = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    found = "query_id bigint, line_id bigint, similarity double"
+    bytes_ = dict(q.dtypes)["vector"] == "binary"
+    length = (F.octet_length("vector") / 4).cast("int") if bytes_ else F.size("vector")
+    dims = q.groupBy(length.alias("dim")).agg(F.count("*").alias("n")).where("dim > 0").orderBy(F.desc("n"), "dim").first()
+    if dims is None or k <= 0:
+        return queries.sparkSession.createDataFrame([], found + ", rank int")
+    if dims.n * dims.dim * 8 <= BROADCAST_BYTES:
+        got = q.where(length == dims.dim).toArrow().combine_chunks()
+        some, units = _units(got.column("vector").combine_chunks(), dims.dim)
+        sent = vectors.sparkSession.sparkContext.broadcast((got.column("query_id").to_numpy()[some], units))
+        best = rows.mapInArrow(lambda it: _beside(it, *sent.value, k), found)
+    else:
+        tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        v = rows.mapInArrow(lambda it: _cut(it, "line_id", BLOCK, dims.dim), "keys array<bigint>, data binary")
+        blocks = q.mapInArrow(lambda it: _cut(it, "query_id", QUERY_BLOCK, dims.dim, "q_"), "q_keys array<bigint>, q_data binary")
+        best = blocks.crossJoin(v).repartition(tasks).mapInArrow(lambda it: _multiplied(it, k), found)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "line_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

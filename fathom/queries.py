@@ -21,20 +21,26 @@ ORACLES: dict[str, str] = {}
 IDENTITY = H.ChunkerConfig().identity
 W = T.WHITE
 
+
+def _cosine(a: str, b: str) -> str:
+    return f"round(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))), 9)"
+
+
+_COSINE = _cosine("q.vector", "v.vector")
 VIEWS = {
     "books": """SELECT concat_ws('/', source, doc_id) AS source_book_key, 'doc ' || doc_id AS title, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id + 1 END AS content_fingerprint,
   doc_id % 7 = 0 AS is_pdf, '/' || lang || '/' || source AS topics, ['/era/e' || (doc_id % 4), '/author/a' || (doc_id % 50)] || CASE WHEN doc_id % 10 = 0 THEN ['/base'] ELSE [] END AS extra_facets, doc_id FROM documents""",
     "lines0": "SELECT doc_id, concat_ws('/', source, doc_id) AS source_book_key, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents",
     "lines": """SELECT doc_id, source_book_key, text, ord, ((doc_id + 1) << 32) + ord + 1 AS line_id, ord // 5 AS section_id, 'line ' || ord AS reference, ord::BIGINT AS segment,
   CASE WHEN length(text) < 20 THEN 0 ELSE ('0x' || substr(sha256(text), 1, 15))::BIGINT END AS line_hash FROM lines0""",
-    "vectors": """SELECT vec_id + 1 AS line_id, lpad(vec_id::VARCHAR, 10, '0') AS semantic_id, lang || '/' || source AS source_book_key, label::BIGINT AS section_id, 0 AS segment, vec_id % 7 = 0 AS is_pdf,
-  CASE WHEN length(text) < 20 THEN 0 ELSE ('0x' || substr(sha256(text), 1, 15))::BIGINT END AS line_hash, ['/label/l' || label, '/era/e' || (vec_id % 4)] AS facets, embedding::DOUBLE[] AS vector, text
-  FROM embeddings JOIN documents ON vec_id = doc_id""",
+    "vectors": """SELECT vec_id + 1 AS line_id, lpad(vec_id::VARCHAR, 10, '0') AS semantic_id, concat_ws('/', lang, source) AS source_book_key, label::BIGINT AS section_id, 0 AS segment, vec_id % 7 = 0 AS is_pdf,
+  CASE WHEN length(coalesce(text, '')) < 20 THEN 0 ELSE ('0x' || substr(sha256(text), 1, 15))::BIGINT END AS line_hash, ['/label/l' || label, '/era/e' || (vec_id % 4)] AS facets, embedding::DOUBLE[] AS vector, coalesce(text, '') AS text
+  FROM embeddings LEFT JOIN documents ON vec_id = doc_id""",
     "queries": "SELECT conv_id * 100 + turn AS query_id, text AS q, embedding::DOUBLE[] AS vector FROM conversations JOIN embeddings ON vec_id = conv_id",
     "lexical": """SELECT * FROM (SELECT query_id, l.*, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, line_id) AS rank FROM
   (SELECT q.query_id, v.line_id, v.text, v.section_id, v.line_hash, v.source_book_key AS file_path, v.is_pdf, (((v.line_id - 1) * 13 + q.query_id * 7) % 300) / 10.0::DOUBLE AS bm25_score FROM vectors v, queries q) l) WHERE rank <= 100""",
     "semantic": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, line_id) AS rank FROM
-  (SELECT q.query_id, v.line_id, v.section_id, v.line_hash, v.source_book_key, v.is_pdf, v.facets, round(list_dot_product(q.vector, v.vector), 9) AS similarity FROM queries q, vectors v)) WHERE rank <= 100""",
+  (SELECT q.query_id, v.line_id, v.section_id, v.line_hash, v.source_book_key, v.is_pdf, v.facets, {_COSINE} AS similarity FROM queries q, vectors v)) WHERE rank <= 100""".replace("{_COSINE}", _COSINE),
 }
 
 
@@ -58,6 +64,30 @@ VIEWS["features"] = f"""SELECT query_id, {_words('q')} AS w, {_phrases('q')} AS
 ORDER = list(VIEWS)
 
 
+def _bytes(x: str) -> str:
+    """The bytes of a string, as numbers."""
+    h = f"hex(encode({x}))"
+    return f"list_transform(generate_series(1, strlen({h}), 2), lambda i: ('0x' || substr({h}, i, 2))::INTEGER)"
+
+
+def _le(x: str) -> str:
+    """The eight bytes of a number, the lowest first."""
+    return f"list_transform(generate_series(0, 56, 8), lambda i: ((({x})::BIGINT >> i) & 255)::INTEGER)"
+
+
+def _field(x: str) -> str:
+    return f"{_le(f'strlen({x})')} || {_bytes(x)}"
+
+
+def _fnv(x: str) -> str:
+    """FNV-1a of a list of bytes, as an unsigned number."""
+    return f"list_reduce(list_prepend({H.OFFSET}::HUGEINT, list_transform({x}, lambda b: b::HUGEINT)), lambda h, b: (xor(h, b) * {H.PRIME}) % 18446744073709551616)"
+
+
+def _signed(x: str) -> str:
+    return f"(CASE WHEN {x} >= 9223372036854775808 THEN {x} - 18446744073709551616 ELSE {x} END)::BIGINT"
+
+
 def _with(*names: str) -> str:
     """The views named, and those they are made of."""
     need = {"lines": ["lines0"], "lexical": ["vectors", "queries"], "semantic": ["vectors", "queries"], "features": ["queries"]}
@@ -100,15 +130,37 @@ def _semantic(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
 # --- vectors
 
 
-@query("SELECT query_id, vec_id, rank, similarity FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v) WHERE rank <= 10")
+@query(f"SELECT vec_id, similarity, rank FROM (SELECT v.vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, v.vec_id) AS rank FROM (SELECT v.vec_id, {_cosine('q.embedding::DOUBLE[]', 'v.embedding::DOUBLE[]')} AS similarity FROM embeddings v, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q) v) WHERE rank <= 40")
+def vector_search_one(spark, sf):
+    """The forty nearest of one vector, the first in the table."""
+    v = A.read(spark, sf, "embeddings").select("vec_id", F.lpad(F.col("vec_id").cast("string"), 10, "0").alias("semantic_id"), F.col("embedding").alias("vector"))
+    found = vector_search.search(v, list(v.orderBy("vec_id").first().vector), 40)
+    w = Window.orderBy(F.desc("similarity"), "semantic_id")
+    return found.select("vec_id", "similarity", F.row_number().over(w).alias("rank"))
+
+
+_FAULTY = "SELECT vec_id, CASE vec_id % 6 WHEN 0 THEN NULL WHEN 1 THEN (embedding::DOUBLE[])[:63] WHEN 2 THEN list_transform(embedding::DOUBLE[], lambda x: 0.0) WHEN 3 THEN list_transform(embedding::DOUBLE[], lambda x: x * 4) ELSE embedding::DOUBLE[] END AS vector, vec_id % 6 >= 3 AS usable FROM embeddings"
+
+
+@query(f"WITH f AS MATERIALIZED ({_FAULTY}) SELECT query_id, vec_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_COSINE} AS similarity FROM f q, f v WHERE q.usable AND v.usable AND q.vec_id % 20 = 0)) WHERE rank <= 10")
+def vector_topk_faulty(spark, sf):
+    """The same of vectors and queries of which some are null, too short, without a direction, or four times as long."""
+    i, v = F.col("vec_id"), F.col("embedding")
+    faulty = F.when(i % 6 == 0, F.lit(None)).when(i % 6 == 1, F.slice(v, 1, 63)).when(i % 6 == 2, F.transform(v, lambda x: (x * 0).cast("float"))).when(i % 6 == 3, F.transform(v, lambda x: (x * 4).cast("float"))).otherwise(v)
+    e = A.read(spark, sf, "embeddings").select("vec_id", faulty.alias("vector"))
+    found = vector_search.search_all(e.withColumnRenamed("vec_id", "line_id"), e.where(i % 20 == 0).withColumnRenamed("vec_id", "query_id"), 10)
+    return found.select("query_id", F.col("line_id").alias("vec_id"), "rank", "similarity")
+
+
+@query(f"SELECT query_id, vec_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_cosine('q.embedding::DOUBLE[]', 'v.embedding::DOUBLE[]')} AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 10")
 def vector_topk(spark, sf):
-    """The ten nearest vectors of every vector."""
+    """The ten nearest of all vectors to every vector whose id is divisible by 20."""
     e = A.read(spark, sf, "embeddings")
-    found = vector_search.search_all(e.select(F.col("vec_id").alias("line_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
+    found = vector_search.search_all(e.select(F.col("vec_id").alias("line_id"), F.col("embedding").alias("vector")), e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
     return found.select("query_id", F.col("line_id").alias("vec_id"), "rank", "similarity")
 
 
-@query("""SELECT query_id, line_id, rank, similarity FROM (SELECT q.query_id, v.line_id, round(list_dot_product(q.vector, v.vector), 9) AS similarity, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_dot_product(q.vector, v.vector), 9) DESC, v.line_id) AS rank FROM queries q, vectors v
+@query(f"""SELECT query_id, line_id, rank, similarity FROM (SELECT q.query_id, v.line_id, {_COSINE} AS similarity, row_number() OVER (PARTITION BY q.query_id ORDER BY {_COSINE} DESC, v.line_id) AS rank FROM queries q, vectors v
   WHERE NOT v.is_pdf AND (list_contains(v.facets, '/era/e1') OR list_contains(v.facets, '/era/e2')) AND len(list_filter(v.facets, lambda f: f = '/label' OR starts_with(f, '/label/'))) > 0) WHERE rank <= 10""", "vectors", "queries")
 def vector_topk_filtered(spark, sf):
     """The same below a filter of PDF flag, two eras and a category."""
@@ -137,10 +189,15 @@ def vector_normalize(spark, sf):
     return A.read(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x)), 4).alias("total"))
 
 
-@query()
+_BYTE = lambda i: f"('0x' || substr(sha256(w), {2 * i + 1}, 2))::INTEGER"
+_PARTS = f"flatten(list_transform({_words('text')}, lambda w, k: [{{'b': ({_BYTE(0)} + 256 * {_BYTE(1)}) % 16, 'v': ((CASE WHEN {_BYTE(4)} % 2 = 1 THEN -1 ELSE 1 END)::FLOAT / k::FLOAT)::FLOAT}}, {{'b': ({_BYTE(2)} + 256 * {_BYTE(3)}) % 16, 'v': ((CASE WHEN {_BYTE(5)} % 2 = 1 THEN -0.5 ELSE 0.5 END)::FLOAT / k::FLOAT)::FLOAT}}]))"
+
+
+@query(f"SELECT line_id, array_to_string(list_transform(generate_series(0, 15), lambda i: round(list_reduce(list_prepend(0::FLOAT, list_transform(list_filter(c, lambda z: z.b = i), lambda z: z.v)), lambda s, x: (s + x)::FLOAT)::DOUBLE * 1000000)::BIGINT::VARCHAR), ',') AS vector FROM (SELECT line_id, {_PARTS} AS c FROM lines)", "lines")
 def mock_embed(spark, sf):
-    """The test embedder over every line (X13); not expressible in SQL, tested against its golden value."""
-    return V.embed_mock(A.lines(spark, sf).select("line_id", "text"), "text", 16)
+    """The test embedder over every line, in millionths."""
+    v = V.embed_mock(A.lines(spark, sf).select("line_id", "text"), "text", 16)
+    return v.select("line_id", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1000000).cast("bigint").cast("string")), ",").alias("vector"))
 
 
 # --- scores
@@ -391,9 +448,9 @@ def detect_language(spark, sf):
     return A.lines(spark, sf).select("line_id", T.detect_language(t).alias("language"))
 
 
-@query()
+@query(f"SELECT line_id, {_signed('h')} AS fnv FROM (SELECT line_id, {_fnv(_bytes('text'))} AS h FROM lines)", "lines")
 def fnv_hash(spark, sf):
-    """FNV-1a of every line (X9); SQL has no product modulo 2**64."""
+    """FNV-1a of every line."""
     return A.lines(spark, sf).select("line_id", H.fnv1a_column(F.col("text")).alias("fnv"))
 
 
@@ -431,13 +488,19 @@ def facet_match(spark, sf):
 # --- fingerprints and the manifest
 
 
-@query()
+_FACET_BYTES = f"flatten(list_transform(list_sort(list_distinct({{0}})), lambda f: {_field('f')}))"
+_FLAG = f"{_le('1')} || [CASE WHEN is_pdf THEN 1 ELSE 0 END]"
+_LINE_BYTES = " || ".join([*[f"{_le('8')} || {_le(c)}" for c in ("line_id", "section_id", "segment", "line_hash")], _field("reference"), _field("text")])
+
+
+@query(f"""SELECT source_book_key, {_signed('h')} AS line_fingerprint FROM (SELECT b.source_book_key, {_fnv(f"{_field('title')} || {_field('topics')} || {_FLAG} || " + _FACET_BYTES.format('extra_facets') + f" || {_le('8')} || {_le('coalesce(n, 0)')} || coalesce(body, [])")} AS h
+  FROM books b LEFT JOIN (SELECT source_book_key, count(*) AS n, flatten(list({_LINE_BYTES} ORDER BY ord)) AS body FROM lines GROUP BY 1) l ON b.source_book_key = l.source_book_key)""", "books", "lines")
 def line_fingerprint(spark, sf):
     """FNV-1a over every book's lines in order."""
     return H.line_fingerprints(A.books(spark, sf), A.lines(spark, sf))
 
 
-@query()
+@query(f"""SELECT source_book_key, CASE WHEN content_fingerprint = 0 THEN 0 ELSE {_signed('greatest(h, 1)')} END AS fingerprint FROM (SELECT source_book_key, content_fingerprint, {_fnv(f"{_le('8')} || {_le('content_fingerprint')} || {_field('title')} || {_field('topics')} || {_FLAG} || " + _FACET_BYTES.format('extra_facets'))} AS h FROM books)""", "books")
 def canonical_fingerprint(spark, sf):
     """Of every book's content signature and metadata."""
     b = A.books(spark, sf)
@@ -492,7 +555,7 @@ def delete_book(spark, sf):
     return A.vectors(spark, sf).join(F.broadcast(gone), "source_book_key", "left_anti").select("line_id")
 
 
-@query("SELECT semantic_id, section_id FROM (SELECT lpad(vec_id::VARCHAR, 10, '0') AS semantic_id, label::BIGINT + CASE WHEN vec_id % 7 = 0 THEN 100 ELSE 0 END AS section_id FROM embeddings JOIN documents ON vec_id = doc_id)")
+@query("SELECT semantic_id, section_id FROM (SELECT lpad(vec_id::VARCHAR, 10, '0') AS semantic_id, label::BIGINT + CASE WHEN vec_id % 7 = 0 THEN 100 ELSE 0 END AS section_id FROM embeddings)")
 def upsert(spark, sf):
     """The vectors of PDFs are written again with another section."""
     from .sources.vector_store import upserted
