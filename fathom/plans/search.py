@@ -128,7 +128,10 @@ class SearchEngine:
                     raise EmbeddingError("no semantic index is configured")
                 vector, record["embedding_latency_ms"] = self._query_vector(q, profile.embedding_cache_enabled)
                 k = grouping.candidate_window(params.limit, params.offset, profile.candidate_window_multiplier)
-                semantic = self.index.store.search([float(x) for x in vector], k, params.filters)
+                # the candidates of one query are few (MAX_WINDOW at most): they are fetched once, and all that follows works on them
+                found = self.index.store.search([float(x) for x in vector], k, params.filters).drop("vector")
+                semantic = self.spark.createDataFrame(rows_found := found.collect(), found.schema)
+                record["semantic_candidates"] = len(rows_found)
                 ran = True
             except (EmbeddingError, ValueError) as e:
                 failure = str(e)
@@ -136,17 +139,17 @@ class SearchEngine:
         weight = effective_alpha(mode, alpha)
         fused = self._fuse(rows if mode != SEMANTIC_ONLY else [], semantic, features, weight, profile, mode, params)
         fused_at = time.monotonic()
-        # the candidates of one query are few: they are ranked once, and their page, counts and confidence are read from that
-        scores = [r.fused_score for r in fused.select("fused_score", "line_id").orderBy(F.desc("fused_score"), "line_id").collect()]
-        record["semantic_candidates"] = semantic.count() if semantic is not None else 0
+        fused = self.spark.createDataFrame(merged := fused.collect(), fused.schema)
+        scores = [r.fused_score for r in sorted(merged, key=lambda r: (-r.fused_score, r.line_id))]
         groups = None
         page = fused
         if params.grouping:
-            page = grouping.group(fused, params.grouping)
+            page = grouping.group(fused, params.grouping).cache()
             groups = page.count()
         else:
             page = page.withColumns({"siblings": F.array().cast("array<string>"), "group_count": F.lit(1)})
         items = grouping.result_items(grouping.page(page, params.offset, params.limit)).orderBy("position").collect()
+        page.unpersist()
         c = None
         if len(scores) > 1 and scores[0] > 0:
             c = min(1.0, max(0.0, (scores[0] - scores[1]) / max(scores[0], 1e-6)))

@@ -15,6 +15,7 @@ from .functions import vectors as V
 from .operators import chunking, fusion, grouping, lifecycle, packer, telemetry, vector_search
 from .operators.filters import SearchFilters
 from .plans import profiles
+from .sources import vector_store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -386,6 +387,31 @@ def page_offset(spark, sf):
     return grouping.page(_hybrid(spark, sf, profiles.BALANCED), 20, 20).select("query_id", "line_id", "position")
 
 
+_GROUPED = _group_sql("section_id::VARCHAR || '|' || file_path").replace("SELECT query_id, min(CASE", "SELECT query_id, max(fused_score) AS fused_score, min(CASE")
+
+
+@query(_hybrid_sql(profiles.BALANCED) + _GROUPED.split("\n", 1)[0] + ", groups AS (" + _GROUPED.split("\n", 1)[1] + ") SELECT query_id, line_id, group_count, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, line_id) - 1 AS position FROM groups) WHERE position >= 5 AND position < 10", *_ALL)
+def page_groups(spark, sf):
+    """The second page of five groups of every query."""
+    groups = grouping.group(_hybrid(spark, sf, profiles.BALANCED), grouping.SAME_SECTION)
+    return grouping.page(groups, 5, 5).select("query_id", "line_id", "group_count", "position")
+
+
+@query(_hybrid_sql(profiles.BALANCED) + "SELECT query_id, count(*) AS total_count, count(DISTINCT section_id::VARCHAR || '|' || file_path) AS group_count FROM fused GROUP BY query_id", *_ALL)
+def search_totals(spark, sf):
+    """How many candidates and groups each query has."""
+    f = _hybrid(spark, sf, profiles.BALANCED)
+    return f.groupBy("query_id").agg(F.count("*").alias("total_count"), F.count_distinct(grouping.group_key(grouping.SAME_SECTION)).alias("group_count"))
+
+
+@query(_hybrid_sql(profiles.BALANCED, profiles.SEMANTIC_ONLY).replace("FROM lex l FULL JOIN sem s", "FROM (SELECT * FROM lex WHERE false) l RIGHT JOIN sem s").replace("(1 - alpha) * s.norm", "1.0::DOUBLE * s.norm") + _FUSED_SQL, *_ALL)
+def search_semantic_only(spark, sf):
+    """A search without lexical candidates: semantic weight 1."""
+    q = _queries(spark, sf).withColumn("alpha", F.lit(profiles.effective_alpha(profiles.SEMANTIC_ONLY, 0.5)))
+    none = A.lexical_candidates(spark, sf).where(F.lit(False))
+    return _fused(fusion.fuse(none, _semantic(spark, sf), q, profiles.BALANCED, profiles.SEMANTIC_ONLY))
+
+
 @query(_hybrid_sql(profiles.BALANCED) + "SELECT query_id, f.line_id, CASE WHEN source = 'Semantic' THEN length(v.text) ELSE length(f.text) END AS chars FROM fused f JOIN vectors v ON f.line_id = v.line_id", *_ALL)
 def hydrate(spark, sf):
     """Text for the lines that only the semantic side has."""
@@ -550,19 +576,50 @@ def book_counts(spark, sf):
 
 @query("SELECT line_id FROM vectors WHERE source_book_key NOT IN ('en/src1', 'de/src2')", "vectors")
 def delete_book(spark, sf):
-    """What is left after two books are deleted."""
-    gone = spark.createDataFrame([("en/src1",), ("de/src2",)], "source_book_key string")
-    return A.vectors(spark, sf).join(F.broadcast(gone), "source_book_key", "left_anti").select("line_id")
+    """What is left after two books are deleted."""
+    return vector_store.removed(A.vectors(spark, sf), ["en/src1", "de/src2"]).select("line_id")
+
+
+@query(f", {_CHUNKS}, counts AS (SELECT source_book_key, count(*) AS n FROM chunks GROUP BY 1) SELECT b.source_book_key, CASE doc_id % 8 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN false WHEN 5 THEN false ELSE true END AS current FROM books b LEFT JOIN counts c ON b.source_book_key = c.source_book_key", "books", "lines")
+def is_current(spark, sf):
+    """Whether each book need not be indexed anew, of which three in four differ from the manifest or the store in one of six ways (L3)."""
+    chunks = chunking.chunk_lines(A.books(spark, sf), A.lines(spark, sf)).groupBy("source_book_key").agg(F.count("*").alias("n"))
+    one = A.books(spark, sf).join(chunks, "source_book_key", "left").select("source_book_key", "doc_id", (F.col("doc_id") + 1).alias("line_fingerprint"), F.col("content_fingerprint").alias("content_hash"), F.coalesce("n", F.lit(0)).alias("chunk_count"), F.lit(str(IDENTITY)).alias("chunking_identity"), F.lit(1).alias("normalization_version"))
+    i = F.col("doc_id") % 8
+    other = lambda k, c: F.when(i == k, F.concat(F.col(c), F.lit("x")) if c == "chunking_identity" else F.col(c) + 1).otherwise(F.col(c)).alias(c)
+    fields = "line_fingerprint", "content_hash", "chunk_count", "chunking_identity", "normalization_version"
+    manifest = one.select("source_book_key", *[other(k, c) for k, c in enumerate(fields)])
+    return lifecycle.is_current(one, manifest, one.select("source_book_key", F.when(i == 5, F.col("chunk_count") + 1).otherwise(F.col("chunk_count")).alias("vectors")))
+
+
+@query(f", {_MANIFEST} SELECT v.stored_vectors, v.stored_books, m.manifest_vectors, m.manifest_books, v.stored_vectors = m.manifest_vectors AND v.stored_books = m.manifest_books AS agree FROM (SELECT count(*) AS stored_vectors, count(DISTINCT source_book_key) AS stored_books FROM vectors) v, (SELECT sum(chunk_count)::BIGINT AS manifest_vectors, count(CASE WHEN chunk_count > 0 THEN 1 END) AS manifest_books FROM manifest) m", "books", "vectors")
+def vectors_against_manifest(spark, sf):
+    """Whether store and manifest have as many vectors and books."""
+    return lifecycle.vectors_against_manifest(A.vectors(spark, sf), _manifest(spark, sf))
+
+
+@query("""SELECT source_book_key, semantic_id || CASE WHEN side = 'rebuilt' AND line_id % 2 = 0 THEN 'x' ELSE '' END AS semantic_id, side FROM vectors, (VALUES ('stored'), ('rebuilt')) s(side)
+  WHERE (line_id % 3 = 0 AND side = 'stored') OR (line_id % 3 <> 0 AND line_id % 2 = 0)""", "vectors")
+def book_index_differences(spark, sf):
+    """Of an index and one built anew, in which every third vector is wanting and every second has another id."""
+    v, i = A.vectors(spark, sf), F.col("line_id")
+    again = v.where(i % 3 != 0).withColumn("semantic_id", F.when(i % 2 == 0, F.concat("semantic_id", F.lit("x"))).otherwise(F.col("semantic_id")))
+    return lifecycle.book_index_differences(v, again)
+
+
+@query("SELECT semantic_id, line_id FROM (SELECT lpad((vec_id // 3)::VARCHAR, 10, '0') AS semantic_id, max(vec_id) AS line_id FROM embeddings GROUP BY 1)")
+def insert_last(spark, sf):
+    """Of every three records with the same id in a batch the last counts."""
+    v = A.read(spark, sf, "embeddings").orderBy("vec_id").select(F.lpad(F.floor(F.col("vec_id") / 3).cast("string"), 10, "0").alias("semantic_id"), F.col("vec_id").alias("line_id"))
+    return vector_store.last_of_each(v)
 
 
 @query("SELECT semantic_id, section_id FROM (SELECT lpad(vec_id::VARCHAR, 10, '0') AS semantic_id, label::BIGINT + CASE WHEN vec_id % 7 = 0 THEN 100 ELSE 0 END AS section_id FROM embeddings)")
 def upsert(spark, sf):
     """The vectors of PDFs are written again with another section."""
-    from .sources.vector_store import upserted
-
     v = A.vectors(spark, sf).select("semantic_id", "section_id", "is_pdf")
     new = v.where("is_pdf").withColumn("section_id", F.col("section_id") + 100)
-    return upserted(v, new).select("semantic_id", "section_id")
+    return vector_store.upserted(v, new).select("semantic_id", "section_id")
 
 
 # --- packing of vectors

@@ -44,6 +44,17 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "semantic_id") -> DataFr
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def last_of_each(records: DataFrame, key: str = "semantic_id") -> DataFrame:
+    """Of rows with the same key the last in the order of records."""
+    rows = records.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_order"))
+    return rows.groupBy(F.col(f"_row.{key}").alias("_key")).agg(F.max_by("_row", "_order").alias("_row")).select("_row.*")
+
+
+def removed(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """vectors without those of the books named."""
+    return vectors.where(~F.coalesce(F.col("source_book_key").isin(keys), F.lit(False)))
+
+
 class VectorStore:
     """Records (metadata and vector) of one dimension, in a folder of any Hadoop file system."""
 
@@ -85,7 +96,7 @@ class VectorStore:
         bad = records.select("semantic_id", reject_reason(F.col("vector"), self.dim).alias("reason")).where(F.col("reason").isNotNull()).orderBy("semantic_id").limit(1).collect()
         if bad:
             raise StoreError(f"{bad[0].semantic_id}: {bad[0].reason}")
-        new = records.dropDuplicates(["semantic_id"]).withColumn("vector", l2_normalize(F.col("vector")))
+        new = last_of_each(records).withColumn("vector", l2_normalize(F.col("vector")))
         n = new.count()
         if n:
             self._write(upserted(self.read(), new.select(self.read().columns)))
@@ -96,10 +107,9 @@ class VectorStore:
 
     def remove_books(self, keys: list[str]) -> int:
         df = self.read()
-        gone = F.coalesce(F.col("source_book_key").isin(keys), F.lit(False))
-        n = df.where(gone).count()
+        n = df.where(F.col("source_book_key").isin(keys)).count()
         if n:
-            self._write(df.where(~gone))
+            self._write(removed(df, keys))
         return n
 
     def clear(self) -> int:
