@@ -7,8 +7,9 @@ some part differs in no more bits than its threshold t; the part's bits have vec
 table for each v but 0, of the bits whose vector has an odd product with v. Any t vectors have a v that is orthogonal to
 them, so in its table the two codes agree. Hence every near pair shares a shard, whatever the corpus.
 
-Each shard has a BK-tree, in which a node's children are keyed by their integer Hamming distance to it; every code queries
-the tree of each of its shards and follows only edges within the radius. A tree goes where the queries for it are, rather
+Each shard has a BK-tree, in which a root's children are keyed by their integer Hamming distance to it; every code queries
+the tree of each of its shards and follows only edges within the radius, to lists of codes with which it is compared, many
+by many. A tree goes where the queries for it are, rather
 than to every executor: trees grow with the corpus. A shard of very many codes is cut into blocks, and each pair of blocks is
 a tree of its own. Near codes are linked, and the groups are the connected components.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,10 @@ SHARD = 5_000
 #: Codes of a shard beyond which it is cut into blocks of about as many, and the most shards that are.
 HOT = 50_000
 HOT_SHARDS = 1 << 20
+#: The most codes of a tree that is one list.
+LEAF = 64
+#: Pairs that are compared at once, about: what the processor's cache holds.
+BLOCK = 1 << 17
 #: Entries (a code in a table) to a task, about.
 ENTRIES = 1 << 21
 LANES = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -69,56 +75,111 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """A BK-tree for each shard, all built level by level. codes: n x 2; shard: ascending, of each code. A code that a tree
-    has already is its node again (distance 0 is a child like any other). A node's descendants come after it in the order of codes."""
+    """A BK-tree for each shard, all built at once. codes: n x 2; shard: ascending, of each code; same: bits of each code's first word
+    in which its shard's codes agree. The root is the first code of a shard, its children are keyed by distance: a child is the first of the codes at a distance and has the others of it as a
+    list, itself the root's (distance 0) like any other. A tree of at most LEAF codes is one list.
 
-    def __init__(self, codes: np.ndarray, shard: np.ndarray):
+    There are no deeper levels: of codes about 60 bits apart nearly all edges are within RADIUS of each other, so that a level
+    leaves out few codes, while codes in a list are compared at a tenth of the cost of following edges to each."""
+
+    def __init__(self, codes: np.ndarray, shard: np.ndarray, same: np.ndarray | None = None):
         n = len(codes)
-        self.hi, self.lo = np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])
+        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if n else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, n))
+        self.root = np.repeat(first, size)
         self.parent, self.edge = np.full(n, -1), np.zeros(n, np.int16)
-        self.root = np.searchsorted(shard, shard, "left")
-        rest = np.flatnonzero(self.root != np.arange(n))
-        at = self.root[rest]
-        while len(rest):
-            d = self._distance(rest, at)
-            order = np.lexsort((rest, d, at))
-            rest, at, d = rest[order], at[order], d[order]
-            new = np.concatenate([[True], (at[1:] != at[:-1]) | (d[1:] != d[:-1])])
-            child = rest[new]
-            self.parent[child], self.edge[child] = at[new], d[new]
-            at = child[np.cumsum(new) - 1]
-            rest, at = rest[~new], at[~new]
-        kids = np.flatnonzero(self.parent >= 0)
-        self.kids = kids[np.argsort(self.parent[kids], kind="stable")]
-        self.first = np.searchsorted(self.parent[self.kids], np.arange(n + 1))
-
-    def _distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (np.bitwise_count(self.hi[a] ^ self.hi[b]) + np.bitwise_count(self.lo[a] ^ self.lo[b])).astype(np.int16)
+        tall = np.flatnonzero(np.repeat(size > LEAF, size))
+        self.edge[tall] = distance(codes[tall], codes[self.root[tall]])
+        tall = tall[np.argsort(self.root[tall] * (BITS + 1) + self.edge[tall], kind="stable")]  # trees after each other, each by distance
+        new = np.ones(len(tall), bool)
+        new[1:] = (self.root[tall[1:]] != self.root[tall[:-1]]) | (self.edge[tall[1:]] != self.edge[tall[:-1]])
+        kids = tall[new & (self.root[tall] != tall)]
+        self.parent[kids] = self.root[kids]
+        self.kids = kids
+        self.first = np.searchsorted(self.parent[kids], np.arange(n + 1))
+        # places: tall trees by distance, then the others by falling size
+        low = np.argsort(-np.repeat(size, size), kind="stable")
+        self.tall = len(tall)
+        self.order = np.concatenate([tall, low[len(tall) :]])
+        self.hi, self.lo = codes[self.order, 0], codes[self.order, 1]
+        # 64 bits of a code, with bits of the other word for those in which the tree's codes agree
+        m = same[self.order] if same is not None else np.uint64(0)
+        self.some = (self.hi & ~m) | (self.lo & m)
+        self.sizes = size[size > LEAF], -np.sort(-size[size <= LEAF])
 
     def near(self, radius: int, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, node, distance), node < query, for every code as a query of its own tree."""
-        for k in range(0, len(self.root), chunk):
-            query = np.arange(k, min(k + chunk, len(self.root)))
-            query = query[self.root[query] < query]
-            stack = [(query, self.root[query])]
-            while stack:
-                q, node = stack.pop()
-                if len(q) > chunk:
-                    stack += [(q[chunk:], node[chunk:])]
-                    q, node = q[:chunk], node[:chunk]
-                d = self._distance(q, node)
-                hit = d <= radius
-                if hit.any():
-                    yield q[hit], node[hit], d[hit]
-                first = self.first[node]
-                n = self.first[node + 1] - first
-                total = int(n.sum())
-                if total:
-                    child = self.kids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(total)]
-                    again = np.repeat(q, n)
-                    follow = (np.abs(self.edge[child] - np.repeat(d, n)) <= radius) & (child < again)
-                    if follow.any():
-                        stack.append((again[follow], child[follow]))
+        """(query, node, distance), node < query, for every code as a query of its own tree; about `chunk` at a time or more."""
+        held, n = [], 0
+        for a, b in chain(self._followed(radius), self._lists(radius)):
+            d = np.bitwise_count(self.hi[a] ^ self.hi[b]).astype(np.int64) + np.bitwise_count(self.lo[a] ^ self.lo[b])
+            hit = np.flatnonzero(d <= radius)
+            if len(hit):
+                held.append((self.order[a[hit]], self.order[b[hit]], d[hit]))
+                n += len(hit)
+            if n >= chunk:
+                a, b, d = (np.concatenate(c) for c in zip(*held))
+                yield np.maximum(a, b), np.minimum(a, b), d
+                held, n = [], 0
+        if held:
+            a, b, d = (np.concatenate(c) for c in zip(*held))
+            yield np.maximum(a, b), np.minimum(a, b), d
+
+    def _followed(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs in tall trees that may be near, from edges within the radius of each other: of a tree these are runs of places."""
+        space, count = np.empty(BLOCK + 8, np.uint64), np.empty(BLOCK + 8, np.uint8)
+        at = 0
+        for n in self.sizes[0].tolist():
+            edge = self.edge[self.order[at : at + n]]
+            low = at + np.searchsorted(edge, edge - radius)
+            row = at
+            while row < at + n:
+                begin = int(low[row - at])
+                # rows of the block, each of which is compared with all before the last
+                rows = max(1, min(64, BLOCK // (row + 64 - begin), at + n - row))
+                for left in range(begin, row + rows, BLOCK):
+                    right = min(left + BLOCK, row + rows)
+                    width = right - left
+                    cells = rows * width
+                    np.bitwise_xor(self.some[row : row + rows, None], self.some[None, left:right], out=space[:cells].reshape(rows, width))
+                    count[cells : cells + 8] = BITS
+                    np.bitwise_count(space[:cells], out=count[:cells])
+                    a, b = np.divmod(_at_most(count[: -(-cells // 8) * 8], radius), width)
+                    a, b = a + row, b + left
+                    once = b < a
+                    yield a[once], b[once]
+                row += rows
+            at += n
+
+    def _lists(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs in trees of one list that may be near: each place with the k-th before it, for many trees at once."""
+        sizes = self.sizes[1]
+        ends = np.cumsum(sizes)
+        head = np.repeat(ends - sizes, sizes)  # the first place of a place's tree
+        space, count = np.empty(BLOCK + LEAF + 8, np.uint64), np.empty(BLOCK + LEAF + 8, np.uint8)
+        tree = 0
+        while tree < len(sizes):
+            after = max(tree + 1, int(np.searchsorted(ends, ends[tree] - sizes[tree] + BLOCK, "right")))
+            begin = int(ends[tree] - sizes[tree])
+            for k in range(1, int(sizes[tree])):
+                longer = tree + int(np.searchsorted(-sizes[tree:after], -k, "left"))  # trees of more than k codes
+                end = int(ends[longer - 1])
+                cells = end - begin - k
+                some = self.some[self.tall + begin : self.tall + end]
+                np.bitwise_xor(some[k:], some[:-k], out=space[:cells])
+                count[cells : cells + 8] = BITS
+                np.bitwise_count(space[:cells], out=count[:cells])
+                a = _at_most(count[: -(-cells // 8) * 8], radius) + begin + k
+                a = a[a - k >= head[a]]
+                yield a + self.tall, a + (self.tall - k)
+            tree = after
+
+
+def _at_most(count: np.ndarray, most: int) -> np.ndarray:
+    """Where count is at most `most`; its length is a multiple of 8, and few are."""
+    eight = (count <= most).view(np.uint64)
+    some = np.flatnonzero(eight)
+    which, at = np.nonzero(eight[some].view(bool).reshape(-1, 8))
+    return some[which] * 8 + at
 
 
 @lru_cache(maxsize=8)
@@ -284,15 +345,16 @@ def _found(group: pa.Table, masks: np.ndarray) -> pa.Table:
     t, code, rep, pair, key, block = (c[order] for c in (t, code, rep, pair, key, block))
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
     crossed = (block >> np.uint32(15)) != (block & np.uint32((1 << 15) - 1))  # of two different blocks
-    forest = Forest(code, np.cumsum(new))
+    forest = Forest(code, np.cumsum(new), masks[t, 0])
     ids, node = np.unique(rep, return_inverse=True)
     labels, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
     for q, k, _ in forest.near(RADIUS):
         real = ~crossed[q] | (pair[q] != pair[k])
         q, k = q[real], k[real]
-        labels = join_labels(labels, node[q], node[k])
-        one = _first(code[q] ^ code[k], t[q], masks)
-        links += np.bincount(node[q[one]], minlength=len(ids)) + np.bincount(node[k[one]], minlength=len(ids))
+        one = _first(code[q] ^ code[k], t[q], masks)  # in some group each near pair is
+        q, k = node[q[one]], node[k[one]]
+        labels = join_labels(labels, q, k)
+        links += np.bincount(q, minlength=len(ids)) + np.bincount(k, minlength=len(ids))
     del forest, code, key, block, order, t, hi, lo, rep, pair
     trim()
     other, some = np.flatnonzero(labels != np.arange(len(ids))), np.flatnonzero(links)

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -298,6 +299,36 @@ def test_bk_trees_find_what_brute_force_finds():
     assert len(set(forest.edge[child])) == len(child) and all(dist(c, root) == forest.edge[c] for c in child)
 
 
+@pytest.mark.parametrize("leaf", [1, 12, 64])
+def test_trees_of_any_size_with_bits_that_agree(monkeypatch, leaf):
+    """Lists and edges find the same; a shard's codes agree in some bits, and some are copies."""
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "BLOCK", 300)
+    r = np.random.RandomState(4)
+    size = np.array([1, 2, 70, 5, 12, 13, 1, 40, 64, 65, 3])
+    shard = np.repeat(np.arange(len(size)), size)
+    mask, base = (r.randint(0, 1 << 62, (2, len(size), 2)).astype(np.uint64) for _ in range(2))
+    far = np.bitwise_and.reduce(r.randint(0, 1 << 62, (3, len(shard), 2)).astype(np.uint64), 0)  # 15 of 120 bits, about
+    codes = base[0][shard] ^ (far & ~mask[0][shard])
+    codes[5:9], codes[100] = codes[4], codes[95]
+    got = [(int(q), int(k), int(d)) for a, b, c in simhash.Forest(codes, shard, mask[0][shard, 0]).near(simhash.RADIUS, chunk=50) for q, k, d in zip(a, b, c)]
+    dist = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2, dtype=int)
+    want = {(i, j, int(dist[i, j])) for i in range(len(codes)) for j in range(i) if shard[i] == shard[j] and dist[i, j] <= simhash.RADIUS}
+    assert set(got) == want and len(got) == len(want) > 500
+    assert list(simhash.Forest(codes[:0], shard[:0]).near(simhash.RADIUS)) == []
+
+
+def test_time_of_a_large_tree():
+    """Pairs in a shard grow as the square of its codes, so each has to be cheap: following edges to every code took 60 s a 10^9 pairs and more."""
+    r = np.random.RandomState(5)
+    codes = r.randint(0, 1 << 62, (25_000, 2)).astype(np.uint64)
+    codes[-1] = codes[7] ^ np.uint64(9)
+    forest = simhash.Forest(codes, np.zeros(len(codes), np.int64))
+    began = time.process_time()
+    assert [(x.tolist(), y.tolist(), d.tolist()) for x, y, d in forest.near(simhash.RADIUS)] == [([24_999], [7], [4])]
+    assert time.process_time() - began < 9  # 20 and more before
+
+
 @pytest.mark.parametrize("family", simhash.FAMILIES)
 def test_a_table_misses_every_near_difference(family):
     masks = simhash.covering(family)
