@@ -254,6 +254,30 @@ def test_language_query_against_all_centroids(spark, docs, rows):
             assert (got[i].language, got[i].rejected) == ((None, True) if edge > 0 or not v.any() else (m.languages[k], False))
 
 
+def test_language_is_learned_from_all_rows(spark, monkeypatch):
+    """Centroids are those of k-means over all rows, after ROUNDS from where it starts; radii hold for 0.99 of all rows."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL AND lang = 'en'")
+    texts = pa.array([r.text for r in d.select("text").collect()])
+    assert len(texts) > 1500
+    m = language.train(d)
+    x = language.vectors(texts, m.idf)
+    x = x[x.any(1)]
+    rounds = language.ROUNDS
+    monkeypatch.setattr(language, "ROUNDS", 0)
+    mean = language.train(d).centres
+    assert ((mean * m.centres).sum(1) < 0.9999).any()
+    for _ in range(rounds):
+        at = np.argmax(x @ mean.T, 1)
+        mean = np.stack([x[at == k].mean(0) for k in range(len(mean))])
+        mean /= np.linalg.norm(mean, axis=1, keepdims=True)
+    assert np.allclose(np.sort((mean @ m.centres.T).max(1)), 1, atol=1e-5)
+    for k, size in enumerate(language.SIZES.tolist()):
+        long = [t[:size] for t in texts.to_pylist() if len(t) >= size]
+        if long:
+            far = np.sort(1 - (language.vectors(pa.array(long), m.idf) @ m.centres.T).max(1))
+            assert abs(m.radius[0, k] - far[int(np.ceil(language.QUANTILE * len(far))) - 1]) < 1e-4
+
+
 def test_language_rejects_what_it_has_not_seen(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = random.Random(7)
