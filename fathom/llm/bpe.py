@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pre-tokens whose ids a task remembers, and their longest in characters.
 REMEMBERED = 600_000
 REMEMBERED_CHARS = 64
+#: Pre-tokens encoded at once where only the number of ids is kept.
+ENCODED = 4096
 
 
 def byte_characters() -> list[str]:
@@ -52,6 +56,9 @@ def to_characters(data: bytes) -> str:
     return data.decode("latin-1").translate(_TABLE)
 
 
+_BETWEEN = to_characters("\ud800".encode("utf-8", "surrogatepass"))
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -83,27 +90,70 @@ class Tokenizer:
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        n = self.processor.get_piece_size() - 1
-        self.pieces = [self.processor.id_to_piece(k).translate(_BYTES).encode("latin-1") for k in range(n)]
         self.split = regex.compile(pattern).findall
+        self.blank = regex.compile(r"\s").match
         self.known: dict[str, list[int]] = {}
         self.sizes: dict[str, int] = {}
+        self.words: dict[str, int] = {}
 
-    def count_all(self, texts: list[str]) -> list[int]:
-        """How many ids encode_all gives each text."""
-        words = [self.split(t) for t in texts]
-        distinct = set(chain.from_iterable(words))
+    @cached_property
+    def pieces(self) -> list[bytes]:
+        return [self.processor.id_to_piece(k).translate(_BYTES).encode("latin-1") for k in range(self.processor.get_piece_size() - 1)]
+
+    def _sizes(self, parts: list[str]) -> np.ndarray:
+        """How many ids each pre-token has."""
+        distinct = set(parts)
         if len(self.sizes) + len(distinct) > REMEMBERED:
             self.sizes.clear()
         new = [w for w in distinct if w not in self.sizes]
-        self.sizes.update(zip(new, map(len, self.processor.encode([to_characters(w.encode()) for w in new], num_threads=1))))
-        size = self.sizes.__getitem__
-        out = [sum(map(size, w)) for w in words]
+        # a lone surrogate is in no text, nor are its bytes in the UTF-8 of one
+        written = to_characters("\ud800".join(new).encode("utf-8", "surrogatepass")).split(_BETWEEN) if new else []
+        for k in range(0, len(new), ENCODED):
+            self.sizes.update(zip(new[k : k + ENCODED], map(len, self.processor.encode(written[k : k + ENCODED], num_threads=1))))
+        out = np.fromiter(map(self.sizes.__getitem__, parts), np.int64, len(parts))
         for w in new:
             if len(w) > REMEMBERED_CHARS:
                 del self.sizes[w]
         return out
 
+    def _after_space(self, words: list[str]) -> list[int]:
+        """How many ids each word has with a space before it; -1 where that space may not begin a pre-token: before white space or nothing."""
+        out = np.full(len(words), -1)
+        cut = [k for k, w in enumerate(words) if w and (w[0].isalnum() or not self.blank(w))]
+        if cut:
+            parts = self.split(" " + " ".join(words[k] for k in cut))
+            first = np.flatnonzero(np.fromiter((x[0] == " " for x in parts), bool, len(parts)))
+            out[cut] = np.add.reduceat(self._sizes(parts), first)
+        return out.tolist()
+
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """How many ids encode_all gives each text; a null counts as empty.
+
+        A space before anything but white space begins a pre-token, and none goes on over it. So texts are cut there, and the pattern sees
+        each distinct word once, and a text as a whole only if in it a space stands before white space or at the end. This holds for PATTERN."""
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(texts, " ")
+        offsets, words = cut.offsets.to_numpy().astype(np.int64), cut.flatten().dictionary_encode()
+        offsets -= offsets[0]
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes several times as long
+        if len(self.words) + len(distinct) > REMEMBERED:
+            self.words.clear()
+        new = [w for w in distinct if w not in self.words]
+        self.words.update(zip(new, self._after_space(new)))
+        at = words.indices.to_numpy()
+        size = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[at]
+        for w in new:
+            if len(w) > REMEMBERED_CHARS:
+                del self.words[w]
+        start, end = offsets[:-1], offsets[1:]
+        total = lambda x: (lambda s: s[end] - s[start + 1])(np.concatenate([[0], np.cumsum(x)]))
+        whole = total(size < 0) > 0
+        heads = [t.as_py() if w else distinct[k] for t, w, k in zip(texts, whole.tolist(), at[start].tolist())]
+        parts = [self.split(t) for t in heads]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        own = np.concatenate([[0], np.cumsum(self._sizes(list(chain.from_iterable(parts))))])
+        return own[ends[1:]] - own[ends[:-1]] + np.where(whole, 0, total(size))
+
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts. Pre-tokens that aren't known are encoded once for all of them; when too many are known, all are forgotten."""
         words = [self.split(t) for t in texts]
@@ -145,7 +195,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
 def _counted(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     t = Tokenizer(sent.value)
     for b in slices(batches):
-        n = t.count_all([x or "" for x in b.column("text").to_pylist()])
+        n = t.count_all(b.column("text"))
         yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "h": b.column("h")})
     del t
     trim()

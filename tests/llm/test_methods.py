@@ -109,6 +109,27 @@ def test_bpe_query(spark, docs, rows):
     assert {r.doc_id: r.text for r in bpe.decode(got).collect()} == dict(rows)
 
 
+def test_counts_are_those_of_ids_and_look_at_each_word_once(monkeypatch):
+    model, seen, init = bpe.serialise(bpe.read_ranks(bpe.VOCABULARY)), [], bpe.Tokenizer.__init__
+
+    def watched(self, *a):
+        init(self, *a)
+        split = self.split
+        self.split = lambda t: (seen.append(len(t)), split(t))[1]
+
+    def counts(texts):
+        b = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string()), "h": pa.array(range(len(texts)), pa.int64())})
+        return [n for x in bpe._counted(iter([b]), type("Sent", (), {"value": model})) for n in x.column("n").to_pylist()]
+
+    monkeypatch.setattr(bpe.Tokenizer, "__init__", watched)
+    r = random.Random(5)
+    texts = [None, "", " ", "a ", " a", "a  b", "a \nb", "a\n b", "a\n\n b\n", "x" * 100 + " " + "y" * 100, "it's 'll"]
+    texts += ["".join(r.choice("ab'sté1½_. \n\t\x1c\x85\u3000漢\U0001f642," + "  a" * 4) for _ in range(r.randrange(14))) for _ in range(5000)]
+    assert counts(texts) == [len(x) for x in bpe.Tokenizer(model).encode_all([t or "" for t in texts])]
+    seen.clear()
+    assert counts(["one two three. " * 1000 + "end"] * 20) == [4001] * 20 and sum(seen) < 1000
+
+
 # --- 3
 
 
