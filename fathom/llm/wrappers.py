@@ -1,7 +1,8 @@
 """HTML extraction (7): wrapper induction on the pages of a host.
 
-A host's layouts are found on up to SAMPLE of its pages that have text: pages whose sets of label paths are alike make a layout,
-and the page most alike to the others is its template. Every page's tree is aligned with the template most alike to it by simple tree matching: the largest
+A host's layouts are found on all of its pages that have text. Their sets of label paths are taken by falling number of pages; a set that is alike to
+that of an earlier layout counts to the one it is most alike to, any other begins a layout, whose template is a page with this very set. Layouts of one page are left out, since one page
+shows nothing and no other is alike to it. Every page's tree is aligned with the template most alike to it by simple tree matching: the largest
 set of node pairs that keeps order and ancestors, found by dynamic programming over the children of two nodes of the same
 label, where a pair of equal texts counts twice. Over all pages of the layout that have text it is counted how often a template's text node is matched, and how often by the same text:
 nodes that are the same on CONSTANT of these pages are template. All other text, matched with a varying node or with
@@ -10,11 +11,14 @@ none, is in a slot, and slots are the content, except those within elements whos
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +29,8 @@ from .durable import table
 
 #: Part of a layout's pages on which a node must have the same text to be template. One page alone shows nothing.
 CONSTANT = 0.9
-#: Pages of a host, drawn by a hash, that its layouts are found on, and the most layouts kept, those of most of these pages first.
-SAMPLE = 32
-LAYOUTS = 8
+#: Different sets of paths of a host that one task takes. Where a host has more, layouts are found in blocks of as many, then among the blocks' layouts.
+SETS = 50_000
 #: Least Jaccard coefficient of the label paths of two pages of one layout. A page that has it with no template is all content.
 ALIKE = 0.5
 #: Largest set of templates, in bytes as written, that is sent to every executor; beyond it pages and templates are joined by shuffle.
@@ -45,6 +48,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 _CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements nested deeper are taken as children of the one at this depth.
 DEPTH = 200
+#: Hosts, and templates, that a task keeps.
 TEMPLATES_KEPT = 500
 #: Cells of an alignment's table, above which it is cut in two (Hirschberg) to bound memory.
 CELLS = 4_000_000
@@ -231,13 +235,18 @@ def _number(root: Node, first: int = 0) -> Node:
     return root
 
 
+@lru_cache(1 << 16)
+def _label(label: str) -> int:
+    return int.from_bytes(hashlib.blake2b(label.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 def paths(root: Node) -> set[int]:
-    """Hashes of the labels from the root to each element."""
+    """Hashes of the labels from the root to each element, the same in every process."""
     out: set[int] = set()
     stack = [(root, 0)]
     while stack:
         n, above = stack.pop()
-        here = hash((above, n.label))
+        here = hash((above, _label(n.label)))  # of integers: no seed takes part
         out.add(here)
         stack += [(k, here) for k in n.kids if k.label]
     return out
@@ -248,21 +257,68 @@ def _alike(a: set[int], b: set[int]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def layouts(pages: list[str]) -> list[str]:
-    """The templates of a host, from a sample of its pages; of equal ones the first."""
-    groups: list[list[tuple[str, set[int]]]] = []
-    for page in pages:
-        tree = parse(page)
-        if next(_texts(tree), None) is None:
-            continue
-        own = paths(tree)
-        near = [max(_alike(own, other) for _, other in g) for g in groups]
-        if near and max(near) >= ALIKE:
-            groups[int(np.argmax(near))].append((page, own))
+class Likeness:
+    """Sets of paths, and which of them is most alike to another."""
+
+    def __init__(self):
+        self.sets: list[set[int]] = []
+        self.having: dict[int, list[int]] = {}
+
+    def add(self, own: set[int]) -> None:
+        for x in own:
+            self.having.setdefault(x, []).append(len(self.sets))
+        self.sets.append(own)
+
+    def find(self, own: set[int]) -> int:
+        """The set most alike to own, of several the first, or -1 if none is as alike as ALIKE."""
+        near = range(len(self.sets))
+        if len(near) > 8:
+            # such a set has at least ALIKE of own's paths, so it has one of any that are more than the rest
+            rare = sorted(own, key=lambda x: len(self.having.get(x, ())))[: len(own) - math.ceil(ALIKE * len(own)) + 1]
+            near = sorted({k for x in rare for k in self.having.get(x, ())})
+        best = max(near, key=lambda k: _alike(own, self.sets[k]), default=-1)
+        return best if best >= 0 and _alike(own, self.sets[best]) >= ALIKE else -1
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of paths of pages with text: how many pages have each, and the least draw of these."""
+    found: dict[tuple[str, bytes], list[int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        keys, values = list(found), list(found.values())
+        return pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in keys], pa.string()), "paths": pa.array([x for _, x in keys], pa.binary()), "pages": pa.array([n for n, _ in values], pa.int64()), "draw": pa.array([d for _, d in values], pa.int64())})
+
+    for b in batches:
+        for host, page, draw in zip(*(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("host", "html", "draw"))):
+            tree = parse(page)
+            if next(_texts(tree), None) is None:
+                continue
+            own = paths(tree)
+            key = host, np.sort(np.fromiter(own, np.int64, len(own))).tobytes()
+            n, least = found.get(key, (0, draw))
+            found[key] = [n + 1, min(least, draw)]
+            if len(found) > 20_000:
+                yield flush()
+                found.clear()
+    if found:
+        yield flush()
+
+
+def _layouts(group: pa.Table) -> pa.Table:
+    """Of sets of paths those that begin a layout, with the number of its pages."""
+    group = group.sort_by([("pages", "descending"), ("draw", "ascending"), ("paths", "ascending")])
+    found, first, pages = Likeness(), [], []
+    for at, (x, n) in enumerate(zip(group.column("paths"), group.column("pages").to_pylist())):
+        own = set(np.frombuffer(x.as_py(), np.int64).tolist())
+        k = found.find(own)
+        if k < 0:
+            found.add(own)
+            first.append(at)
+            pages.append(n)
         else:
-            groups.append([(page, own)])
-    groups.sort(key=len, reverse=True)
-    return [max(g, key=lambda x: sum(_alike(x[1], y) for _, y in g))[0] for g in groups[:LAYOUTS]]
+            pages[k] += n
+    out = group.take(pa.array(first, pa.int64()))
+    return pa.table({"host": out.column("host"), "paths": out.column("paths"), "pages": pa.array(pages, pa.int64()), "draw": out.column("draw")})
 
 
 def _texts(root: Node) -> Iterator[Node]:
@@ -303,42 +359,53 @@ def content(page: Node, constant: set[int]) -> tuple[str, int, int, int]:
 
 
 class Aligner:
-    """Aligns pages with their hosts' templates; the templates last used are kept parsed."""
+    """Aligns pages with their hosts' templates; the hosts last used and the templates last used are kept parsed."""
 
     def __init__(self):
         self.matcher = Matcher()
-        self.templates: dict[str, list[tuple[Node, dict[int, str], frozenset[str], set[int]]]] = {}
-
-    def template(self, host: str, template: bytes | None) -> list[tuple[Node, dict[int, str], frozenset[str], set[int]]]:
-        """By layout: the tree, its texts by number, the set of them, and the paths. Numbers differ between layouts."""
-        if host not in self.templates:
-            if len(self.templates) >= TEMPLATES_KEPT:
-                del self.templates[next(iter(self.templates))]
-            out, first = [], 0
-            for page in json.loads(zlib.decompress(template)) if template is not None else ():
+        self.hosts: dict[str, tuple[Likeness, list[str], list[int]]] = {}
+        self.templates: dict[tuple[str, int], tuple[Node, dict[int, str], frozenset[str]]] = {}
+
+    def host(self, host: str, template: bytes | None) -> tuple[Likeness, list[str], list[int]]:
+        """By layout: the paths, the page, and its first number. Numbers differ between layouts."""
+        if host not in self.hosts:
+            if len(self.hosts) >= TEMPLATES_KEPT:
+                del self.hosts[next(iter(self.hosts))]
+            alike, firsts, first = Likeness(), [], 0
+            pages = json.loads(zlib.decompress(template)) if template is not None else []
+            for page in pages:
                 tree = _number(parse(page), first)
+                firsts.append(first)
                 first = tree.number + 1
-                texts = {n.number: n.text for n in _texts(tree)}
-                known = frozenset(texts.values())
-                out.append((self.matcher.prepare(tree, known), texts, known, paths(tree)))
-            self.templates[host] = out
-        return self.templates[host]
+                alike.add(paths(tree))
+            self.hosts[host] = alike, pages, firsts
+        return self.hosts[host]
+
+    def template(self, host: str, template: bytes | None, layout: int) -> tuple[Node, dict[int, str], frozenset[str]]:
+        """The tree, its texts by number, and the set of them."""
+        if (host, layout) not in self.templates:
+            _, pages, firsts = self.host(host, template)
+            tree = _number(parse(pages[layout]), firsts[layout])
+            texts = {n.number: n.text for n in _texts(tree)}
+            known = frozenset(texts.values())
+            self.matcher.prepare(tree, known)
+            if len(self.templates) >= TEMPLATES_KEPT:
+                del self.templates[next(iter(self.templates))]
+            self.templates[host, layout] = tree, texts, known
+        return self.templates[host, layout]
 
     def __call__(self, host: str, template: bytes | None, page: str) -> tuple[Node, int]:
         """The page's tree, with numbers, and its layout, or -1 if it has none."""
         tree = parse(page)
-        try:
-            found = self.template(host, template)
-            own = paths(tree)
-            near = [_alike(own, x[3]) for x in found]
-            layout = int(np.argmax(near)) if near and max(near) >= ALIKE else -1
-            if layout >= 0:
-                self.matcher.prepare(tree, found[layout][2])
-        except OverflowError:  # too many shapes are remembered: start anew
-            self.__init__()
-            return self(host, template, page)
+        layout = self.host(host, template)[0].find(paths(tree)) if template is not None else -1
         if layout >= 0:
-            self.matcher.match(found[layout][0], tree)
+            try:
+                self.matcher.prepare(tree, self.template(host, template, layout)[2])
+            except OverflowError:  # too many shapes are remembered: start anew
+                self.matcher = Matcher()
+                self.templates.clear()
+                self.matcher.prepare(tree, self.template(host, template, layout)[2])
+            self.matcher.match(self.template(host, template, layout)[0], tree)
         return tree, layout
 
 
@@ -363,7 +430,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, layout = align(r["host"], r["template"], r["html"])
         texts = list(_texts(tree))
         if layout >= 0 and texts:
-            known = align.template(r["host"], r["template"])[layout][1]
+            known = align.template(r["host"], r["template"], layout)[1]
             for n in (-1, *(n.number for n in texts if n.number >= 0 and known[n.number] == n.text)):
                 key = r["host"], layout, n
                 counts[key] = counts.get(key, 0) + 1
@@ -393,7 +460,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _templates(group: pa.Table) -> pa.Table:
-    found = layouts(group.sort_by([("draw", "ascending"), ("html", "ascending")]).column("html").to_pylist())
+    found = group.sort_by([("pages", "descending"), ("draw", "ascending")]).column("html").to_pylist()
     return pa.table({"host": pa.array([group.column("host")[0].as_py()], pa.string()), "template": pa.array([zlib.compress(json.dumps(found).encode(), 1)], pa.binary())})
 
 
@@ -406,13 +473,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     pages. A layout of one page, and a page of no layout, have no template nodes. Repeated rows are extracted each for itself. Other columns are not read, no rows give no rows."""
     host = F.regexp_extract(F.lower(F.coalesce(F.col(url_col), F.lit(""))), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     p = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    # equal pages make one draw, so many copies of a page can't crowd out others; rank 1 .. SAMPLE is cut before the shuffle
-    p = p.withColumn("draw", F.xxhash64("html"))
-    drawn = p.where(F.col("html").rlike("\\S")).select("host", "draw").distinct()
-    drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("draw"))).where(F.col("rank") <= SAMPLE)
-    found = table(drawn.select(F.col("host").alias("h"), F.col("draw").alias("d")), "drawn")
+    p = p.withColumn("draw", F.xxhash64("html"))  # by it a template's page is found again
+    kind = "host string, paths binary, pages bigint, draw bigint"
+    signed = p.where(F.col("html").rlike("\\S")).select("host", "html", "draw").mapInArrow(_signed, kind)
+    signed = table(signed.groupBy("host", "paths").agg(F.sum("pages").alias("pages"), F.min("draw").alias("draw")), "paths")
+    begin = signed.df
+    if (begin.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > SETS:
+        blocks = F.ceil(F.count("*").over(Window.partitionBy("host")) / SETS)
+        begin = begin.withColumn("block", F.pmod(F.xxhash64("paths"), blocks)).groupBy("host", "block").applyInArrow(_layouts, kind)
+    begin = begin.groupBy("host").applyInArrow(_layouts, kind).where(F.col("pages") > 1)
+    found = table(begin.select(F.col("host").alias("h"), F.col("draw").alias("d"), "pages"), "layouts")
+    signed.drop()
     least = F.broadcast(found.df) if found.bytes <= BROADCAST_BYTES else found.df
-    heads = p.join(least, (F.col("host") == F.col("h")) & (F.col("draw") == F.col("d"))).groupBy("host", "draw").agg(F.min("html").alias("html"))
+    heads = p.join(least, (F.col("host") == F.col("h")) & (F.col("draw") == F.col("d"))).groupBy("host", "draw").agg(F.min("html").alias("html"), F.max("pages").alias("pages"))
     templates = table(heads.groupBy("host").applyInArrow(_templates, "host string, template binary"), "templates")
 
     def joined(t: DataFrame, size: int) -> DataFrame:

@@ -593,6 +593,20 @@ def test_hosts_with_empty_pages_and_two_layouts(spark):
         assert (got[i].content, got[i].template_nodes) == (want, 2 if i % 5 < 3 else 3)
 
 
+@pytest.mark.parametrize("sets", [50_000, 5])
+def test_every_layout_of_a_host_has_a_template(spark, monkeypatch, sets):
+    """Twelve layouts, of which some have two pages of 2,000, and pages like no other."""
+    monkeypatch.setattr(wrappers, "SETS", sets, raising=False)
+    page = "<html><body><div class=k{0}>" + "".join(f"<p class=k{{0}}x{k}>Same {k}</p>" for k in range(5)) + "<h2 class=k{0}h>Body {1}</h2></div></body></html>"
+    kinds = [0] * 1900 + [k for k in range(1, 12) for _ in range(2 if k > 5 else 18)] + list(range(100, 110))
+    rows = [(i, "https://many.example/", page.format(k, i)) for i, k in enumerate(kinds)]
+    for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect():
+        if kinds[r.page_id] < 100:
+            assert (r.content, r.template_nodes) == (f"Body {r.page_id}", 5)
+        else:
+            assert r.template_nodes == 0 and r.content.startswith("Same 0")
+
+
 def test_varying_text_in_any_element_is_content(spark):
     page = "<html><head><title>Shop</title></head><body><form><h1>Our shop</h1><p>Body {0}</p><aside>Note {0}</aside><ul class=menu><li>Soup {0}</li></ul><button>Buy {0}</button></form><nav>Go {0}</nav><div class=ad>Ad {0}</div></body></html>"
     rows = [(i, f"https://forms.example/{i}", page.format(i)) for i in range(10)]
