@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,20 +34,49 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: (x.cast("double") / n).cast("float"))
 
 
-@lru_cache(maxsize=1 << 18)
-def _buckets(word: str, dim: int) -> tuple[int, float, int, float]:
-    h = hashlib.sha256(word.encode()).digest()
-    return (h[0] | h[1] << 8) % dim, (-1.0 if h[4] & 1 else 1.0), (h[2] | h[3] << 8) % dim, (-0.5 if h[5] & 1 else 0.5)
+#: Words whose buckets a worker keeps, and characters of text that are embedded at once.
+KNOWN_WORDS, EMBED_CHARS = 1 << 18, 1 << 20
+
+
+class _Words(dict):
+    """The first six bytes of a word's SHA-256, as a number; computed when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.sha256(word.encode()).digest()[:6], "little")
+        return h
+
+
+_words = _Words()
+
+
+def hash_embeddings(texts: list[str], dim: int) -> np.ndarray:
+    """A row a text: its words in hashed buckets, the k-th divided by k, added in their order. A blank text is the zero vector. Not a
+    semantic embedding."""
+    dim = max(1, dim)
+    out = np.zeros((len(texts), dim), np.float32)
+    at = 0
+    while at < len(texts):
+        split, chars = [], 0
+        while at + len(split) < len(texts) and chars < EMBED_CHARS:
+            t = texts[at + len(split)]
+            chars += len(t)
+            split.append(t.split())
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        h = np.fromiter(map(_words.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n.sum()))
+        row = np.repeat(np.arange(len(split)), n)
+        k = (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.float32)
+        bucket, part = np.empty((len(h), 2), np.int64), np.empty((len(h), 2), np.float32)
+        bucket[:, 0], bucket[:, 1] = row * dim + (h & 0xFFFF) % dim, row * dim + (h >> 16 & 0xFFFF) % dim
+        part[:, 0], part[:, 1] = np.where(h >> 32 & 1, -1, 1).astype(np.float32) / k, np.where(h >> 40 & 1, -0.5, 0.5).astype(np.float32) / k
+        np.add.at(out[at : at + len(split)].reshape(-1), bucket.reshape(-1), part.reshape(-1))  # one after the other, as in a loop
+        at += len(split)
+    return out
 
 
 def hash_embedding(text: str, dim: int) -> np.ndarray:
-    """A text's words in hashed buckets, the k-th divided by k. A blank text is the zero vector. Not a semantic embedding."""
-    out = np.zeros(max(1, dim), np.float32)
-    for k, word in enumerate(text.split(), 1):
-        a, x, b, y = _buckets(word, len(out))
-        out[a] += np.float32(x) / np.float32(k)
-        out[b] += np.float32(y) / np.float32(k)
-    return out
+    return hash_embeddings([text], dim)[0]
 
 
 def embed_mock(df: DataFrame, text_col: str, dim: int, out_col: str = "vector") -> DataFrame:
@@ -56,6 +85,6 @@ def embed_mock(df: DataFrame, text_col: str, dim: int, out_col: str = "vector")
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([hash_embedding(t or "", dim) for t in texts])
+            yield pd.Series(list(hash_embeddings([t or "" for t in texts], dim)))
 
     return df.withColumn(out_col, run(text_col))

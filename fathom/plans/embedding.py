@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import MIN_NORM, hash_embedding
+from ..functions.vectors import MIN_NORM, hash_embeddings
 
 
 class EmbeddingError(RuntimeError):
@@ -37,7 +37,7 @@ class HashEmbedder:
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        return np.stack([hash_embedding(t, self.dim) for t in texts]) if texts else np.zeros((0, self.dim), np.float32)
+        return hash_embeddings(texts, self.dim)
 
 
 def select(candidates: list[Embedder], allow_mock: bool = False) -> Embedder:

@@ -19,3 +19,19 @@ def test_trim_looks_at_the_ends_only(spark):
     assert [r[0] for r in df.select(T.unicode_trim("x")).collect()] == [x, "", "", None, "\x1c"]
     assert time.monotonic() - began < 10
     assert [r[0] for r in df.select(F.regexp_replace(F.lit(T.BLANKS), T.WHITE, "")).collect()] == [""] * 5
+
+
+def test_embedding_of_many_texts_equals_one_word_at_a_time(monkeypatch):
+    texts = ["", " \t", "a a a", "hello world", " ".join(f"w{i % 37} é{i}" for i in range(3000)), "x"] * 3
+    monkeypatch.setattr(V, "EMBED_CHARS", 500)
+    monkeypatch.setattr(V, "KNOWN_WORDS", 100)
+    for dim in (0, 1, 7, 64):
+        want = np.zeros((len(texts), max(1, dim)), np.float32)
+        for row, t in zip(want, texts):
+            for k, w in enumerate(t.split(), 1):
+                h = hashlib.sha256(w.encode()).digest()
+                row[(h[0] | h[1] << 8) % len(row)] += np.float32(-1.0 if h[4] & 1 else 1.0) / np.float32(k)
+                row[(h[2] | h[3] << 8) % len(row)] += np.float32(-0.5 if h[5] & 1 else 0.5) / np.float32(k)
+        got = V.hash_embeddings(texts, dim)
+        assert got.dtype == np.float32 and (got == want).all()
+    assert V.hash_embeddings([], 4).shape == (0, 4)
