@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OFFSET, PRIME, MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
+#: Books whose lines are Python objects at the same time, and bytes that are hashed together.
+BOOKS_AT_ONCE, HASHED_BYTES = 256, 8 << 20
 
 
 def signed(x: int) -> int:
@@ -69,7 +73,7 @@ def fnv1a_many(items: list[bytes]) -> np.ndarray:
     size = np.array([len(x) for x in items], np.int64)
     order = np.argsort(-size, kind="stable")
     start = (np.cumsum(size) - size)[order]
-    data = np.frombuffer(b"".join(items), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(items), np.uint8)
     state = np.full(len(items), OFFSET, np.uint64)
     shorter = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), "right")  # how many reach each byte
     at = 0
@@ -127,17 +131,27 @@ def line_fingerprints(books: DataFrame, lines: DataFrame) -> DataFrame:
     gathered = lines.groupBy("source_book_key").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("lines"))
     rows = books.select("source_book_key", "title", "topics", "is_pdf", "extra_facets").join(gathered, "source_book_key", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                items = r.lines if r.lines is not None else []
-                head = r.title.encode(), r.topics.encode(), bytes([bool(r.is_pdf)]), *(f.encode() for f in canonical_facets(r.extra_facets)), struct.pack("<Q", len(items))
-                rest = [_fields(*(struct.pack("<Q", unsigned(int(x[n]))) for n in fields[:4]), (x["reference"] or "").encode(), (x["text"] or "").encode()) for x in items]
-                out.append(_fields(*head) + b"".join(rest))
-            yield pd.DataFrame({"source_book_key": b["source_book_key"], "line_fingerprint": fnv1a_many(out).view(np.int64)})
-
-    return rows.mapInPandas(run, "source_book_key string, line_fingerprint bigint")
+            keys, hashes, out, held = b.column("source_book_key"), [np.zeros(0, np.int64)], [], 0
+            for at in range(0, b.num_rows, BOOKS_AT_ONCE):  # a batch may hold 10,000 books, which as Python objects are many times as large
+                part = b.slice(at, BOOKS_AT_ONCE)
+                heads = zip(*(part.column(c).to_pylist() for c in ("title", "topics", "is_pdf", "extra_facets")))
+                flat = part.column("lines").flatten()  # the lines of all these books, one behind the other
+                numbers = zip(*(flat.field(n).cast(pa.int64()).to_pylist() for n in fields[:4]))
+                texts = zip(*(flat.field(n).to_pylist() for n in fields[4:]))
+                lines_ = (_fields(*(struct.pack("<q", x) for x in n), *((t or "").encode() for t in ts)) for n, ts in zip(numbers, texts))
+                for (title, topics, is_pdf, facets), n in zip(heads, part.column("lines").value_lengths().fill_null(0).to_pylist()):
+                    head = _fields(title.encode(), topics.encode(), bytes([bool(is_pdf)]), *(f.encode() for f in canonical_facets(facets)), struct.pack("<Q", n))
+                    out.append(head + b"".join(itertools.islice(lines_, n)))
+                    held += len(out[-1])
+                if held > HASHED_BYTES:
+                    hashes.append(fnv1a_many(out).view(np.int64))
+                    out, held = [], 0
+            hashes.append(fnv1a_many(out).view(np.int64))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(hashes))], ["source_book_key", "line_fingerprint"])
+
+    return rows.mapInArrow(run, "source_book_key string, line_fingerprint bigint")
 
 
 def length_prefixed_sha256(*fields: bytes) -> bytes:

@@ -35,3 +35,26 @@ def test_embedding_of_many_texts_equals_one_word_at_a_time(monkeypatch):
         got = V.hash_embeddings(texts, dim)
         assert got.dtype == np.float32 and (got == want).all()
     assert V.hash_embeddings([], 4).shape == (0, 4)
+
+
+def test_hashing_needs_little_more_than_the_bytes():
+    items = [bytes([i]) * (1 << 16) for i in range(64)]
+    tracemalloc.start()
+    got = H.fnv1a_many(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 64 * (1 << 16)
+    assert got[3] == H.fnv1a(items[3]) and got[63] == H.fnv1a(items[63])
+
+
+def test_fingerprints_of_books_hashed_in_parts(spark, monkeypatch):
+    books = spark.createDataFrame([(f"b{i}", f"t{i}", "/x", i % 2 == 0, ["/b", "/a"]) for i in range(7)], "source_book_key string, title string, topics string, is_pdf boolean, extra_facets array<string>")
+    lines = spark.createDataFrame([(f"b{i}", o, 10 * i + o, 0, o, -i, None if o == 1 else f"r{o}", None if o == 2 else f"é{o}") for i in range(6) for o in reversed(range(i))], "source_book_key string, ord int, line_id bigint, section_id bigint, segment bigint, line_hash bigint, reference string, text string")
+    whole = dict(H.line_fingerprints(books, lines).collect())
+    monkeypatch.setattr(H, "BOOKS_AT_ONCE", 2)
+    monkeypatch.setattr(H, "HASHED_BYTES", 10)
+    assert len(whole) == 7 and dict(H.line_fingerprints(books.coalesce(1), lines).collect()) == whole
+    le = lambda x: (x % 2**64).to_bytes(8, "little")
+    field = lambda x: le(len(x)) + x
+    body = b"".join(field(le(n)) for n in (20, 0, 0, -2)) + field(b"r0") + field("é0".encode()) + b"".join(field(le(n)) for n in (21, 0, 1, -2)) + field(b"") + field("é1".encode())
+    assert H.unsigned(whole["b2"]) == H.fnv1a(field(b"t2") + field(b"/x") + field(b"\1") + field(b"/a") + field(b"/b") + field(le(2)) + body)
