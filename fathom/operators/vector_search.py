@@ -3,8 +3,9 @@ direction) are never found, and a query of that kind finds nothing.
 
 One query: every task multiplies its Arrow batches by the query with numpy in single precision, which is a matter of memory
 bandwidth, computes what could be among the best k again in double precision, and keeps k rows; these are sorted. Many queries: their
-matrix is sent to every task if its size allows, and multiplied beside the vectors, so that only k rows a query and task are
-shuffled; beyond that size blocks of queries meet blocks of vectors, each pair of which is a row of its own.
+matrix is sent to every task if its size and that of a task's answers allow, and multiplied beside the vectors, so that only k rows a
+query and task are shuffled; beyond that size every block of queries is a task past which all vectors stream, and only the k best of
+each query leave it. Here too single precision finds what could be among the best, and double precision decides.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .filters import SearchFilters
 
 #: Vectors and queries to a block.
 BLOCK = 2048
-QUERY_BLOCK = 4096
-#: Largest matrix of queries, in bytes, that is sent to every task.
+QUERY_BLOCK = 8192
+#: Largest matrix of queries, and largest answer of a task, in bytes, where the matrix is sent to every task.
 BROADCAST_BYTES = 16 << 20
 #: Scores are compared as rounded to so many places, so that the order doesn't hang on the order of summation.
 PLACES = 9
@@ -128,21 +129,35 @@ def _units(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Best:
-    """The k best (similarity, line) of each query so far; equal similarities by line."""
+    """The k best (similarity, line) so far of each of some queries, given as unit vectors; equal similarities by line."""
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.least = k, np.full(queries, -np.inf)
+    def __init__(self, units: np.ndarray, k: int):
+        self.units, self.k, self.least = units, k, np.full(len(units), -np.inf)
+        self.single = units.astype(np.float32)
+        self.error = 4 * units.shape[1] * float(np.finfo(np.float32).eps)  # of a cosine in single precision, amply
+        self.step = max(1, min(BLOCK, (1 << 23) // max(1, len(units))))  # 32 MB of scores at a time
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, s: np.ndarray, line: np.ndarray) -> None:
-        """s: queries x lines."""
-        n = min(self.k, len(line))
-        kth = np.partition(s, len(line) - n, axis=1)[:, len(line) - n]
-        q, c = np.nonzero(s >= np.maximum(kth, self.least)[:, None])
-        self.held.append((q, s[q, c], line[c]))
-        self.size += len(q)
-        if self.size > 4_000_000:
+    def meet(self, x: np.ndarray, line: np.ndarray) -> None:
+        """x: unit vectors, whose ids are line."""
+        for at in range(0, len(x), self.step):
+            self._meet(x[at : at + self.step], line[at : at + self.step])
+
+    def _meet(self, x: np.ndarray, line: np.ndarray) -> None:
+        rough = self.single @ x.astype(np.float32).T
+        least = self.least - self.error
+        if (new := np.isinf(least)).any():  # as yet fewer than k: the best k of these
+            n = min(self.k, len(line))
+            least[new] = np.partition(rough[new], len(line) - n, axis=1)[:, len(line) - n] - 2 * self.error
+        q, c = np.nonzero(rough >= least.astype(np.float32)[:, None] - np.float32(self.error))
+        for at in range(0, len(q), 1 << 16):
+            some, there = q[at : at + (1 << 16)], c[at : at + (1 << 16)]
+            s = np.round(np.einsum("ij,ij->i", self.units[some], x[there]), PLACES)
+            good = s >= self.least[some]
+            self.held.append((some[good], s[good], line[there[good]]))
+            self.size += int(good.sum())
+        if self.size > 4_000_000 or self.size > 2 * self.k * len(self.units):
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,41 +171,66 @@ class _Best:
         self.held, self.size = [(q[keep], s[keep], line[keep])], int(keep.sum())
         return self.held[0]
 
+    def rows(self, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        q, s, line = self.cut()
+        for at in range(0, len(q), 1 << 18):
+            i = slice(at, at + (1 << 18))
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[q[i]], pa.int64()), "line_id": pa.array(line[i], pa.int64()), "similarity": pa.array(s[i])})
+
 
 def _beside(batches: Iterator[pa.RecordBatch], ids: np.ndarray, units: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """The best k of a task for every query."""
     if not len(ids):
         return
-    best = _Best(len(ids), k)
+    best = _Best(units, k)
     for b in batches:
         rows, x = _units(b.column("vector"), units.shape[1])
-        line = b.column("line_id").to_numpy(zero_copy_only=False)[rows]
-        step = max(1, min(BLOCK, (1 << 22) // len(ids)))  # 32 MB of scores at a time
-        for at in range(0, len(rows), step):
-            best.add(np.round(units @ x[at : at + step].T, PLACES), line[at : at + step])
-    q, s, line = best.cut()
-    if len(q):
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[q], pa.int64()), "line_id": pa.array(line, pa.int64()), "similarity": pa.array(s)})
+        best.meet(x, b.column("line_id").to_numpy(zero_copy_only=False)[rows])
+    yield from best.rows(ids)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], key: str, rows: int, dim: int, prefix: str = "") -> Iterator[pa.RecordBatch]:
-    """Rows (key, vector) as blocks: keys and a matrix of unit vectors."""
+def _packed(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, id, vector) that can be compared as a row for each block and `rows` of them: block, ids, and the bytes of their matrix."""
     for b in batches:
-        some, x = _units(b.column("vector"), dim)
-        keys = b.column(key).to_numpy(zero_copy_only=False)[some]
-        for at in range(0, len(some), rows):
-            yield pa.RecordBatch.from_pydict({f"{prefix}keys": pa.array([keys[at : at + rows]], pa.list_(pa.int64())), f"{prefix}data": pa.array([x[at : at + rows].tobytes()], pa.binary())})
-
+        block = b.column("block").to_numpy(zero_copy_only=False)
+        some, x = _matrix(b.column("vector"), dim)
+        ids = b.column("id").to_numpy(zero_copy_only=False)[some]
+        block = block[some]
+        for n in np.unique(block):
+            own = np.flatnonzero(block == n)
+            for at in range(0, len(own), rows):
+                i = own[at : at + rows]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([n], pa.int32()), "ids": pa.array([ids[i].astype("<i8").tobytes()], pa.binary()), "data": pa.array([x[i].tobytes()], pa.binary())})
+
+
+def _past(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows by block, a block's queries (side 0) before the vectors: the best k of every query."""
+
+    def unit(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(b.column("data")[i].as_buffer(), np.float64 if b.column("wide")[i].as_py() else np.float32).reshape(-1, dim).astype(float)
+        with np.errstate(invalid="ignore", over="ignore"):
+            n = np.linalg.norm(x, axis=1)
+        good = np.isfinite(n) & (n > MIN_NORM)
+        return np.frombuffer(b.column("ids")[i].as_buffer(), np.int64)[good], x[good] / n[good, None]
 
-def _multiplied(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    at, queries, best = None, [], None
     for b in batches:
         for i in range(b.num_rows):
-            ids, line = (np.asarray(b.column(c)[i].as_py(), np.int64) for c in ("q_keys", "keys"))
-            x, y = (np.frombuffer(b.column(c)[i].as_py()).reshape(len(n), -1) for c, n in (("q_data", ids), ("data", line)))
-            best = _Best(len(ids), k)
-            best.add(np.round(x @ y.T, PLACES), line)
-            q, s, found = best.cut()
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[q]), "line_id": pa.array(found), "similarity": pa.array(s)})
+            block = b.column("block")[i].as_py()
+            if block != at:
+                if best is not None:
+                    yield from best.rows(ids)
+                at, queries, best = block, [], None
+            some, x = unit(b, i)
+            if b.column("side")[i].as_py() == 0:
+                queries.append((some, x))
+            elif queries:
+                if best is None:
+                    ids, units = map(np.concatenate, zip(*queries))
+                    best = _Best(units, k)
+                best.meet(x, some)
+    if best is not None:
+        yield from best.rows(ids)
 
 
 def search_all(vectors: DataFrame, queries: DataFrame, k: int, filters: SearchFilters | None = None) -> DataFrame:
@@ -206,15 +246,27 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int, filters: SearchFi
     dims = q.groupBy(length.alias("dim")).agg(F.count("*").alias("n")).where("dim > 0").orderBy(F.desc("n"), "dim").first()
     if dims is None or k <= 0:
         return queries.sparkSession.createDataFrame([], found + ", rank int")
-    if dims.n * dims.dim * 8 <= BROADCAST_BYTES:
+    if dims.n * dims.dim * 8 <= BROADCAST_BYTES and dims.n * k * 24 <= BROADCAST_BYTES:
         got = q.where(length == dims.dim).toArrow().combine_chunks()
         some, units = _units(got.column("vector").combine_chunks(), dims.dim)
         sent = vectors.sparkSession.sparkContext.broadcast((got.column("query_id").to_numpy()[some], units))
         best = rows.mapInArrow(lambda it: _beside(it, *sent.value, k), found)
     else:
-        tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        v = rows.mapInArrow(lambda it: _cut(it, "line_id", BLOCK, dims.dim), "keys array<bigint>, data binary")
-        blocks = q.mapInArrow(lambda it: _cut(it, "query_id", QUERY_BLOCK, dims.dim, "q_"), "q_keys array<bigint>, q_data binary")
-        best = blocks.crossJoin(v).repartition(tasks).mapInArrow(lambda it: _multiplied(it, k), found)
+        # as many blocks as keep all cores busy; more only if they would be too large, since every vector goes to each of them
+        blocks = max(-(-dims.n // QUERY_BLOCK), min(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-dims.n // 256)))
+        packed = "block int, ids binary, data binary"
+
+        def sided(df: DataFrame, side: int, key: str) -> DataFrame:
+            wide = "array<double>" in dict(df.dtypes)["vector"]
+            if side == 0:  # dealt before they are packed, so that a block's queries are in few rows
+                df = df.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("id"), "vector")
+                df = df.mapInArrow(lambda it: _packed(it, dims.dim, QUERY_BLOCK), packed)
+            else:
+                df = df.select(F.lit(0).alias("block"), F.col(key).alias("id"), "vector").mapInArrow(lambda it: _packed(it, dims.dim, BLOCK), packed)
+                df = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            return df.select("block", F.lit(side).alias("side"), F.lit(wide).alias("wide"), "ids", "data")
+
+        both = sided(q, 0, "query_id").unionByName(sided(rows, 1, "line_id"))
+        best = both.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "side").mapInArrow(lambda it: _past(it, dims.dim, k), found)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "line_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

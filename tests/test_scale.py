@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fathom.functions import hashing as H
 from fathom.functions import text as T
 from fathom.functions import vectors as V
+from fathom.operators import vector_search
 
 
 def test_trim_looks_at_the_ends_only(spark):
@@ -58,3 +59,30 @@ def test_fingerprints_of_books_hashed_in_parts(spark, monkeypatch):
     field = lambda x: le(len(x)) + x
     body = b"".join(field(le(n)) for n in (20, 0, 0, -2)) + field(b"r0") + field("é0".encode()) + b"".join(field(le(n)) for n in (21, 0, 1, -2)) + field(b"") + field("é1".encode())
     assert H.unsigned(whole["b2"]) == H.fnv1a(field(b"t2") + field(b"/x") + field(b"\1") + field(b"/a") + field(b"/b") + field(le(2)) + body)
+
+
+def test_vectors_stream_past_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 16)
+    r = np.random.RandomState(0)
+    x = r.randint(-2, 3, (300, 4)).astype(np.float32)  # many equal cosines, some without a direction
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(300, None), (301, [1.0]), (302, [1.0, float("nan"), 0.0, 0.0])]
+    for kind in ("float", "double"):
+        v = spark.createDataFrame(rows, f"line_id bigint, vector array<{kind}>").repartition(3)
+        q = v.where("line_id < 40 or line_id >= 300").select((F.col("line_id") % 39).alias("query_id"), "vector")  # two vectors are one query
+        got = vector_search.search_all(v, q, 5)
+        plan = got._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        found = {}
+        for g in got.collect():
+            found.setdefault(g.query_id, []).append((g["rank"], -g.similarity, g.line_id))
+        length = np.linalg.norm(x.astype(float), axis=1)
+        ok = np.flatnonzero(length > 0)
+        unit = x[ok].astype(float) / length[ok, None]
+        want = {}
+        for i in range(40):
+            if length[i]:
+                want.setdefault(i % 39, []).extend(zip(-np.round(unit @ (x[i] / length[i]), 9), ok))
+        assert set(found) == set(want)
+        for i, all_ in want.items():
+            assert [(-s, n) for _, s, n in sorted(found[i])] == [(-s, n) for s, n in sorted(all_)[:5]]
