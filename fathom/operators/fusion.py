@@ -1,6 +1,8 @@
 """Merging lexical and semantic candidates, and the ranking of the merged list. All of it is per query_id, for any number of queries.
 
-lexical: query_id, rank, line_id, section_id, line_hash, segment, title, reference, text, is_pdf, file_path, bm25_score.
+lexical: query_id, rank, line_id, section_id, line_hash, segment, title, reference, text, is_pdf, file_path, bm25_score. Without text, all
+is to be hydrated, and for the bonuses it has in its place text_parts: for each row that queries has of a query (nth, from 0) the parts
+of its phrases and of its rare tokens that the text has.
 semantic: query_id, rank, similarity, line_id, section_id, line_hash, segment, title, reference, is_pdf, source_book_key, facets.
 """
 
@@ -8,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +84,42 @@ def _part_matched(text: Column, wanted: Column) -> Column:
     return F.when(n > 0, hits / n).otherwise(0.0)
 
 
+class Finder:
+    """Which of some texts contain a string; for many strings. One of GRAM characters or more without white space, as rare tokens are,
+    can only be within a word, so it is looked for in the words that have its first GRAM characters."""
+
+    GRAM = 6
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.words: dict[str, list[int]] = {}
+        self.grams: dict[str, list[str]] = {}
+        self.known: dict[str, np.ndarray] = {}
+        for i, t in enumerate(texts):
+            for w in set(t.split()):
+                if len(w) >= self.GRAM:
+                    self.words.setdefault(w, []).append(i)
+        for w in self.words:
+            for g in {w[j : j + self.GRAM] for j in range(len(w) - self.GRAM + 1)}:
+                self.grams.setdefault(g, []).append(w)
+
+    def _find(self, x: str) -> np.ndarray:
+        if len(x) < self.GRAM or x.split() != [x]:
+            return np.array([i for i, t in enumerate(self.texts) if x in t], np.int64)
+        return np.array(sorted({i for w in self.grams.get(x[: self.GRAM], ()) if x in w for i in self.words[w]}), np.int64)
+
+    def parts(self, wanted: list[str]) -> np.ndarray:
+        """Of each text the part of these strings that it contains."""
+        hits = np.zeros(len(self.texts))
+        for x in wanted:
+            found = self.known.get(x)
+            if found is None:
+                found = self.known[x] = self._find(x)
+            if len(found):
+                hits[found] += 1
+        return hits / len(wanted)
+
+
 def phrase_bonus(text: Column, phrases: Column) -> Column:
     """Part of the phrases that the text contains."""
     return _part_matched(text, phrases)
@@ -118,23 +157,37 @@ def fuse(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, profile: R
     The lexical side's fields win; a line that only the semantic side has is without text until it is hydrated. RRF applies in
     hybrid mode only, ranks the lexical side by its list, leaves out semantic lines of score 0, and takes no bonus."""
     rrf = profile.rrf_k if mode == HYBRID else None
-    by_query = Window.partitionBy("query_id")
-    lex = dedup_best(lexical, "bm25_score")
-    score = F.col("bm25_score").cast("double")
-    norm = normalize_bm25_adaptive(score, by_query) if profile.adaptive else normalize_bm25(score)
-    place = F.row_number().over(by_query.orderBy("rank"))
-    lex = lex.select("query_id", "line_id", *[F.col(c).alias(f"l_{c}") for c in SIBLINGS], F.col("bm25_score").alias("raw_bm25_score"), norm.alias("normalized_bm25"), place.alias("l_rank"))
-    sem = dedup_best(semantic, "similarity")
-    norm = thresholded(normalize_semantic(F.col("similarity")), profile.threshold)
-    place = F.row_number().over(by_query.orderBy("rank"))
-    fields = [F.col("source_book_key" if c == "file_path" else c).alias(f"s_{c}") for c in SIBLINGS if c != "text"]
+    texts, told = "text" in lexical.columns, "text_parts" in lexical.columns
+    fields = [c for c in SIBLINGS if c != "text"]
+    no = lambda t: F.lit(None).cast(t)
+    parts = "array<struct<phrase:double,rare:double>>"
+    lex = lexical.select("query_id", "line_id", F.lit(False).alias("_sem"), F.col("bm25_score").cast("double").alias("_score"), F.col("rank").alias("_rank"), *fields, (F.col("text") if texts else F.lit("")).alias("text"), F.col("bm25_score").alias("_bm25"), no("double").alias("_similarity"), no("double").alias("_bonus"), (F.col("text_parts") if told else no(parts)).alias("_parts"))
     bonus = metadata_signal(F.col("source_book_key"), F.col("facets"), query_facets)["total"] if profile.metadata_ranking_enabled and rrf is None else F.lit(0.0)
-    sem = sem.select("query_id", "line_id", *fields, F.col("similarity").alias("raw_semantic_score"), norm.alias("normalized_semantic"), place.alias("s_rank"), bonus.alias("metadata_bonus"))
+    sem = semantic.select("query_id", "line_id", F.lit(True).alias("_sem"), F.col("similarity").alias("_score"), F.col("rank").alias("_rank"), *[F.col("source_book_key" if c == "file_path" else c).alias(c) for c in fields], F.lit("").alias("text"), no(lexical.schema["bm25_score"].dataType).alias("_bm25"), F.col("similarity").alias("_similarity"), bonus.alias("_bonus"), no(parts).alias("_parts"))
+    # both sides lie together by query, sorted once: the best row of a line on each side, and then the two sides of a line, are neighbours
+    by_query = Window.partitionBy("query_id")
+    by_line = by_query.orderBy("line_id", "_sem", F.desc("_score"), "_rank")
+    again = F.coalesce((F.lag("line_id").over(by_line) == F.col("line_id")) & (F.lag("_sem").over(by_line) == F.col("_sem")), F.lit(False))
+    rows = lex.unionByName(sem).withColumn("_again", again).where(~F.col("_again")).drop("_again")
+    if rrf is not None:
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("query_id", "_sem").orderBy("_rank")))
+    else:
+        rows = rows.withColumn("_place", F.lit(0))
+    score = F.when(~F.col("_sem"), F.col("_score"))
+    norm_l = normalize_bm25_adaptive(score, by_query) if profile.adaptive else normalize_bm25(score)
+    norm_s = thresholded(normalize_semantic(F.col("_similarity")), profile.threshold)
+    rows = rows.withColumns({"_l": F.when(~F.col("_sem"), norm_l), "_s": F.when(F.col("_sem"), norm_s)})
     if rrf is not None:
-        sem = sem.where(F.col("normalized_semantic") > 0)
-    both = lex.join(sem, ["query_id", "line_id"], "full_outer").join(queries.select("query_id", "alpha", "quoted_phrases", "rare_tokens"), "query_id")
-    has_lex, has_sem = F.col("normalized_bm25").isNotNull(), F.col("normalized_semantic").isNotNull()
-    pick = lambda c: F.when(has_lex, F.col(f"l_{c}")).otherwise(F.col(f"s_{c}") if c != "text" else F.lit("")).alias(c)
+        rows = rows.where(~F.col("_sem") | (F.col("_s") > 0))
+    by_line = by_query.orderBy("line_id", "_sem")
+    paired = F.coalesce(F.lead("line_id").over(by_line) == F.col("line_id"), F.lit(False))
+    second = F.coalesce(F.lag("line_id").over(by_line) == F.col("line_id"), F.lit(False))
+    other = lambda c: F.when(F.col("_sem"), F.col(c)).when(F.col("_paired"), F.lead(c).over(by_line))
+    rows = rows.withColumns({"_paired": paired, "_second": second})
+    rows = rows.withColumns({"raw_semantic_score": other("_similarity"), "normalized_semantic": other("_s"), "s_rank": other("_place"), "metadata_bonus": other("_bonus")}).where(~F.col("_second"))
+    has_lex, has_sem = ~F.col("_sem"), F.col("_sem") | F.col("_paired")
+    rows = rows.withColumns({"normalized_bm25": F.col("_l"), "raw_bm25_score": F.col("_bm25"), "l_rank": F.when(has_lex, F.col("_place"))})
+    both = rows.join(queries.select("query_id", "alpha", *(["nth"] if told else ["quoted_phrases", "rare_tokens"])), "query_id")
     if rrf is not None:
         fused = F.coalesce(1 / (F.col("l_rank") + rrf), F.lit(0.0)) + F.coalesce(1 / (F.col("s_rank") + rrf), F.lit(0.0))
     else:
@@ -144,8 +197,8 @@ def fuse(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, profile: R
     out = both.select(
         "query_id",
         "line_id",
-        *[pick(c) for c in SIBLINGS],
-        (~has_lex).alias("needs_hydration"),
+        *SIBLINGS,
+        (~has_lex if texts else F.lit(True)).alias("needs_hydration"),
         source_of(has_lex, has_sem).alias("source"),
         "raw_bm25_score",
         "normalized_bm25",
@@ -154,22 +207,21 @@ def fuse(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, profile: R
         F.col("alpha").alias("lexical_weight"),
         (1 - F.col("alpha")).alias("semantic_weight"),
         fused.alias("fused_score"),
-        "quoted_phrases",
-        "rare_tokens",
+        (F.element_at("_parts", F.col("nth") + 1) if told else F.struct(phrase_bonus(F.col("text"), F.col("quoted_phrases")).alias("phrase"), rare_bonus(F.col("text"), F.col("rare_tokens")).alias("rare"))).alias("_parts"),
     )
     if rrf is None:
         extra = F.lit(0.0)
         if profile.phrase_match_bonus > 0:
-            extra = extra + profile.phrase_match_bonus * phrase_bonus(F.col("text"), F.col("quoted_phrases"))
+            extra = extra + profile.phrase_match_bonus * F.coalesce("_parts.phrase", F.lit(0.0))
         if profile.rare_term_bonus > 0:
-            extra = extra + profile.rare_term_bonus * rare_bonus(F.col("text"), F.col("rare_tokens"))
+            extra = extra + profile.rare_term_bonus * F.coalesce("_parts.rare", F.lit(0.0))
         if profile.section_coverage_bonus > 0:
             n = F.count("*").over(Window.partitionBy("query_id", "file_path", "section_id"))
             extra = extra + F.when(n > 1, profile.section_coverage_bonus).otherwise(0.0)
         out = out.withColumn("fused_score", F.col("fused_score") + extra)
         if profile.duplicate_penalty > 0:
             out = with_duplicate_penalty(out, profile.duplicate_penalty)
-    return out.drop("quoted_phrases", "rare_tokens")
+    return out.drop("_parts")
 
 
 def confidence(df: DataFrame, score: str = "fused_score") -> DataFrame:

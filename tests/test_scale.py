@@ -4,13 +4,18 @@ import hashlib
 import time
 import tracemalloc
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from fathom import adapter as A
+from fathom import queries as Q
 from fathom.functions import hashing as H
 from fathom.functions import text as T
 from fathom.functions import vectors as V
-from fathom.operators import vector_search
+from fathom.operators import fusion, vector_search
+from fathom.plans import profiles
 
 
 def test_trim_looks_at_the_ends_only(spark):
@@ -86,3 +91,50 @@ def test_vectors_stream_past_blocks_of_queries(spark, monkeypatch):
         assert set(found) == set(want)
         for i, all_ in want.items():
             assert [(-s, n) for _, s, n in sorted(found[i])] == [(-s, n) for s, n in sorted(all_)[:5]]
+
+
+def _tables(tmp_path, lines, turns, shift=0):
+    duckdb.sql(f"copy (select i + {shift} as vec_id, [i % 7, 1, i % 3]::FLOAT[] as embedding, (i % 5)::INTEGER as label from range({lines}) r(i)) to '{tmp_path}/embeddings.parquet'")
+    duckdb.sql(f"copy (select i + {shift} as doc_id, 'Text ' || i || ' wonderful \"things\" ' || (i % 11) || 'abcdefg' as text, 'en' as lang, 's' || i % 2 as source from range({lines - 5}) r(i)) to '{tmp_path}/documents.parquet'")
+    rows = ", ".join(f"({c + shift}, {t}, '{x}')" for c, t, x in turns)
+    duckdb.sql(f"copy (select c::BIGINT as conv_id, t::BIGINT as turn, x as text from (values {rows}) v(c, t, x)) to '{tmp_path}/conversations.parquet'")
+
+
+TURNS = [(0, 0, "wonderful 3abcdefg"), (0, 1, "say \"ul \" or \"nothing\" onderful"), (0, 100, "wonderful"), (1, 0, "a Text-like 10abcdefg wonderf"), (2, 7, ""), (699, 3, "abcdefg")]
+
+
+@pytest.mark.parametrize("lines, shift", [(700, 0), (40, 0), (700, -350)])
+def test_lists_of_candidates_equal_the_product(spark, tmp_path, lines, shift):
+    """Also where two turns are one query, lines are few, or ids are negative; turn 100 of a conversation is turn 0 of the next."""
+    _tables(tmp_path, lines, TURNS, shift)
+    con = duckdb.connect()
+    for t in ("embeddings", "documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    assert A.lexical_lists(spark, str(tmp_path), 20).count() <= 20 * A.CYCLE
+    for name in ("norm_bm25", "section_coverage", "rare_bonus", "phrase_bonus", "norm_semantic_threshold", "vector_topk_filtered"):
+        got = Q.QUERIES[name](spark, str(tmp_path))
+        names = got.columns
+        want = con.sql(Q.ORACLES[name]).select(*names).fetchall()
+        plain = lambda rows: sorted(tuple(round(float(x), 6) for x in r) for r in rows)
+        assert plain(got.collect()) == plain(want), name
+
+
+def test_finder_equals_contains():
+    texts = ["onderful wonderful", "", "wonder ful", "a wonderfully", "abcdef"] * 2
+    finder = fusion.Finder(texts)
+    for x in ("wonderful", "onderf", "wonder ful", "der", "a wonder", "abcdef", "bcdefg", "nderful wonde"):
+        assert finder.parts([x]).tolist() == [float(x in t) for t in texts]
+    assert finder.parts(["wonderful", "nothing here", "wonderful", "abcdef"])[:5].tolist() == [0.5, 0, 0, 0.5, 0.25]
+
+
+def test_fusing_sorts_by_query_once_and_keeps_the_best_of_repeated_lines(spark):
+    lex = spark.createDataFrame([(1, r, line, 0, 0, 0, "t", "r", "text", False, "f", s) for r, line, s in ((1, 5, 9.0), (2, 5, 30.0), (3, 6, 30.0), (4, 5, 30.0))], "query_id bigint, rank int, line_id bigint, section_id bigint, line_hash bigint, segment bigint, title string, reference string, text string, is_pdf boolean, file_path string, bm25_score double")
+    sem = spark.createDataFrame([(1, r, s, line, 0, 0, 0, "t", "r", False, "f", []) for r, line, s in ((1, 6, 0.5), (2, 6, 0.9), (3, 7, 0.1))], "query_id bigint, rank int, similarity double, line_id bigint, section_id bigint, line_hash bigint, segment bigint, title string, reference string, is_pdf boolean, source_book_key string, facets array<string>")
+    queries = spark.createDataFrame([(1, 0.5, [], [])], "query_id bigint, alpha double, quoted_phrases array<string>, rare_tokens array<string>")
+    out = fusion.fuse(lex, sem, queries, profiles.BALANCED)
+    got = {r.line_id: (r.source, r.raw_bm25_score, r.raw_semantic_score, round(r.fused_score, 6), r.text) for r in out.collect()}
+    assert got == {5: ("Lexical", 30.0, None, 0.375, "text"), 6: ("Both", 30.0, 0.9, 0.95, "text"), 7: ("Semantic", None, 0.1, 0.275, "")}
+    ranks = {r.line_id: round(r.fused_score, 9) for r in fusion.fuse(lex, sem, queries, profiles.FAST).collect()}
+    assert ranks == {5: round(1 / 61, 9), 6: round(1 / 62 + 1 / 61, 9), 7: round(1 / 62, 9)}
+    plan = confidence_plan = fusion.confidence(out)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(query_id") + plan.count("Exchange hashpartitioning(line_id") == plan.count("Exchange hashpartitioning(query_id") <= 3, confidence_plan
